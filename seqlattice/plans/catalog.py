@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from seqlattice.streaming import compact
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": compact.p3_found,
+    "p3_compacted": compact.p3_compacted,
+}
 
 SQL: dict[str, str] = {}
