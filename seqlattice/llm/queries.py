@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import terms
+from seqlattice.llm import splits, terms
 from seqlattice.sources.tables import latest_records, table
+from seqlattice.workspace import lookup_hot
 
 
 def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,7 +22,28 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_terms(spark, folder).filter("mark is not null").select("term", "mark")
 
 
+def _group_listings(spark: SparkSession, folder: str) -> DataFrame:
+    groups = table(spark, folder, "summary_group").select(
+        F.try_element_at(splits.numbers(F.col("group_label")), F.lit(1)).alias("group_no"), splits.numbers(F.col("scop_sunid")).alias("sunids")
+    )
+    return groups.filter("group_no is not null").select("group_no", F.explode("sunids").alias("sunid"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.tied(_group_listings(spark, folder), "group_no", "sunid").withColumnRenamed("root", "root_group_no")
+
+
+def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """(seq_id, component, split): tied Groups as one component; without a Group, an alignment is one."""
+    records = latest_records(spark, folder, "group_no", "aln_id")
+    component = F.coalesce(F.concat(F.lit("group "), F.coalesce("root_group_no", "group_no")), F.concat(F.lit("alignment "), F.col("aln_id")))
+    tied = lookup_hot(records, p1_found(spark, folder), "group_no", "left").select("seq_id", component.alias("component"))
+    return splits.assign(tied, "component", {"train": 0.8, "valid": 0.1, "test": 0.1})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_splits": p1_splits,
+    "p1_found": p1_found,
     "p2_terms": p2_terms,
     "p2_found": p2_found,
 }
