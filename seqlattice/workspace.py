@@ -33,21 +33,26 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup_hot(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", hot_share: int = 4096) -> DataFrame:
+def lookup_hot(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", count: str | None = None, hot_share: int = 4096) -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row per ``key``, when some keys may hold a third of ``rows``.
 
     Keys with more than 1/``hot_share`` of all rows (so fewer than ``hot_share`` keys, whatever the size) are joined
-    by broadcasting their few rows of ``keyed``; the rest is an ordinary shuffled join.
+    by broadcasting their few rows of ``keyed``; the rest is an ordinary shuffled join. ``count`` names a column of
+    ``keyed`` with the number of rows of each key, if it is known; it isn't in the result.
     Null keys match nothing; with ``how='left'`` their rows are kept.
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
     limit = max(100_000, total // hot_share)
+    few = keyed.drop(count) if count else keyed
     if total <= limit:
-        return rows.join(keyed, key, how)
+        return rows.join(few, key, how)
+    if count:
+        counts = keyed.select(key, F.col(count).alias("_n"))
+    else:
+        counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = [r[0] for r in counts.filter(F.col("_n") > limit).select(key).collect()]  # fewer than hot_share keys
     if not hot:
-        return rows.join(keyed, key, how)
+        return rows.join(few, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    few = rows.filter(is_hot).join(F.broadcast(keyed.filter(F.col(key).isin(hot))), key, how)
-    return few.unionByName(rows.filter(~is_hot).join(keyed.filter(~F.col(key).isin(hot)), key, how))
+    frequent = rows.filter(is_hot).join(F.broadcast(few.filter(F.col(key).isin(hot))), key, how)
+    return frequent.unionByName(rows.filter(~is_hot).join(few.filter(~F.col(key).isin(hot)), key, how))
