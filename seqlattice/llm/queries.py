@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import splits, terms
+from seqlattice.functions.residues import residues
+from seqlattice.llm import spans, splits, terms
 from seqlattice.sources.tables import latest_records, table
 from seqlattice.workspace import lookup_hot
 
@@ -41,11 +42,37 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign(tied, "component", {"train": 0.8, "valid": 0.1, "test": 0.1})
 
 
+def _sequence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "sequences").select(F.col("seq_id").alias("id"), F.col("a_seq").alias("seq"), "loaded_at")
+    return spans.verified(spans.paths(records))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    runs = spans.merged(_sequence_spans(spark, folder))
+    return runs.select(F.col("id").alias("seq_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+
+
+def p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with how much of it is shared elsewhere."""
+    shared = p4_found(spark, folder).groupBy("seq_id").agg(F.sum(F.col("span_end") - F.col("span_start") + 1).alias("n_shared"), F.count(F.lit(1)).alias("n_spans"))
+    sizes = latest_records(spark, folder, "a_seq").select("seq_id", F.coalesce(F.length(residues(F.col("a_seq"))), F.lit(0)).alias("n_residues"))
+    rows = sizes.join(shared, "seq_id", "left").fillna(0, ["n_shared", "n_spans"])
+    return rows.withColumn("share", F.when(F.col("n_residues") > 0, F.col("n_shared") / F.col("n_residues")).otherwise(0.0))
+
+
+def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Every compacted path: its residues, in how many records and places it lies."""
+    return _sequence_spans(spark, folder).groupBy("text").agg(F.length("text").alias("n_residues"), F.countDistinct("id").alias("n_records"), F.count(F.lit(1)).alias("n_places"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_splits": p1_splits,
     "p1_found": p1_found,
     "p2_terms": p2_terms,
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_records": p4_records,
+    "p4_paths": p4_paths,
 }
 
 SQL: dict[str, str] = {}
