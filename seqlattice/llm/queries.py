@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlattice.functions.residues import residues
-from seqlattice.llm import spans, splits, terms
+from seqlattice.llm import overlap, spans, splits, terms
 from seqlattice.sources.tables import latest_records, table
 from seqlattice.workspace import lookup_hot
 
@@ -65,6 +65,26 @@ def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
     return _sequence_spans(spark, folder).groupBy("text").agg(F.length("text").alias("n_residues"), F.countDistinct("id").alias("n_records"), F.count(F.lit(1)).alias("n_places"))
 
 
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    records = latest_records(spark, folder, "a_seq", "split_name").filter("split_name in ('train', 'valid', 'test')")
+    return overlap.overlaps(records.select(F.col("seq_id").alias("id"), residues(F.col("a_seq")).alias("seq"), (F.col("split_name") == "train").alias("trains")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = _overlaps(spark, folder)
+    return pairs.select(F.least("train_id", "eval_id").alias("seq_id_a"), F.greatest("train_id", "eval_id").alias("seq_id_b"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per split and source of the evaluation records: how many recur in training, exactly and in all."""
+    hit = _overlaps(spark, folder).groupBy(F.col("eval_id").alias("seq_id")).agg(F.max("exact").alias("exact"), F.count(F.lit(1)).alias("n_train"))
+    records = latest_records(spark, folder, "split_name", "source_db").filter("split_name in ('valid', 'test')")
+    return records.join(hit, "seq_id", "left").groupBy("split_name", "source_db").agg(
+        F.count(F.lit(1)).alias("n_records"), F.count("n_train").alias("n_overlapping"),
+        F.count_if(F.col("exact")).alias("n_exact"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("n_pairs"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_splits": p1_splits,
     "p1_found": p1_found,
@@ -73,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p4_paths": p4_paths,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
 }
 
 SQL: dict[str, str] = {}
