@@ -12,7 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.workspace import lookup_hot, shared_dir
+from seqlattice.workspace import lookup_hot, shared_dir, stored
+
+LANDED = "file_id bigint, written_at timestamp_ntz, content string, file_key string, has_record boolean"
 
 
 def canonical_path(path: Column) -> Column:
@@ -68,8 +70,9 @@ def land(spark: SparkSession, source: str, work: str, bytes_per_batch: int = 32
         )
         rows.write.mode("overwrite").parquet(f"{work}/landed/batch={number}")
 
+    spark.createDataFrame([], LANDED).write.mode("overwrite").parquet(f"{work}/landed/batch=-1")  # so that there is one
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("file_id bigint, written_at timestamp_ntz, content string, file_key string, has_record boolean").parquet(f"{work}/landed")
+    return spark.read.schema(LANDED).parquet(f"{work}/landed")
 
 
 def settle(landed: DataFrame) -> DataFrame:
@@ -91,13 +94,15 @@ def compact(spark: SparkSession, source: str, work: str, target_bytes: int = 128
     Carried are last versions with at least one record. The output is about total size / ``target_bytes`` files, written
     as a whole under one name, so a repeated run replaces it.
     """
-    rows = settle(land(spark, source, work)).dropDuplicates(["file_id"])
+    landed = land(spark, source, work)
+    settled = settle(landed.select("file_id", "written_at", "file_key", "has_record", F.length("content").alias("size")))
     carry = F.col("is_last") & F.col("has_record")
-    size = rows.filter(carry).agg(F.sum(F.length("content"))).first()[0] or 0
-    n = max(1, math.ceil(size / target_bytes))
-    files = rows.filter(carry).select("file_key", "content").repartition(n, F.xxhash64("file_key"))
-    sequences_of(files, "file_key").write.mode("overwrite").parquet(f"{work}/compacted")
-    return rows.select("file_id", "file_key", carry.alias("carried"))
+    rows = stored(settled.select("file_id", "file_key", "size", carry.alias("carried")).dropDuplicates(["file_id"]), "settled")
+    carried = rows.filter("carried")
+    n = max(1, math.ceil((carried.agg(F.sum("size")).first()[0] or 0) / target_bytes))
+    files = landed.select("file_id", "content").join(carried.select("file_id", "file_key"), "file_id").dropDuplicates(["file_id"])
+    sequences_of(files, "file_key").coalesce(n).write.mode("overwrite").parquet(f"{work}/compacted")
+    return rows.select("file_id", "file_key", "carried")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
