@@ -1,8 +1,9 @@
 """Same or near-same records across splits.
 
-Records are canonicalised and equal ones become one class. Classes of the training side give hashes of disjoint pieces,
-as many as one more than the edits that a partner may need, so one piece of any partner is untouched; classes of the
-evaluation side give hashes of all windows of such sizes. Where two hashes meet, the edit distance decides.
+Records are canonicalised and hashed; equal hashes make a class. Classes of the training side give disjoint pieces, one
+more than the edits that a partner may need, so one piece of any partner is untouched; classes of the evaluation side
+give all windows of such sizes. Where a piece and a window meet, what travels with them (length, place and counts of
+residues, coarsened so that no true pair is lost) rules out most chance meetings, and the edit distance decides the rest.
 """
 
 from __future__ import annotations
@@ -12,14 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlattice.llm.kernels import joined, whole_windows, window_hashes
+from seqlattice.llm.kernels import joined, whole_windows
 from seqlattice.workspace import lookup_hot, stored
 
 #: At most one edit in so many residues of the longer text.
 PER_EDIT = 10
+#: Groups of letters whose counts travel with a piece, in bits each; ticks of the place; ticks of the length.
+GROUPS, COUNT_BITS, PLACES = 12, 4, 64
+LENGTH_TICKS = 4
+TICK = float(np.log(PER_EDIT / (PER_EDIT - 1))) / LENGTH_TICKS
 
 
 def _piece_size(length: np.ndarray) -> np.ndarray:
@@ -27,34 +32,60 @@ def _piece_size(length: np.ndarray) -> np.ndarray:
     return length // (length // (PER_EDIT - 1) + 1)
 
 
+def _packed(codes: np.ndarray, k: int) -> np.ndarray:
+    """Every window of ``k`` letters as a number of 5 bits a letter, with k above; k is at most 9."""
+    n = max(0, len(codes) - k + 1)
+    key = np.full(n, k, np.int64)
+    for j in range(k):
+        key = key << 5 | (codes[j : j + n].astype(np.int64) & 31)
+    return key
+
+
+def _tags(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of every text: ticks of its length, and the counts of its letters by group modulo 2^COUNT_BITS."""
+    length = np.diff(starts)
+    ticks = np.minimum(np.floor(np.log(np.maximum(length, 1)) / TICK), 1023).astype(np.int64)
+    text = np.repeat(np.arange(len(length)), length)
+    counts = np.bincount(text * GROUPS + (codes & 31) % GROUPS, minlength=len(length) * GROUPS).reshape(-1, GROUPS)
+    packed = ((counts % (1 << COUNT_BITS)) << (COUNT_BITS * np.arange(GROUPS))).sum(axis=1)
+    return ticks << (COUNT_BITS * GROUPS) | packed
+
+
+def _rows(batch: pa.RecordBatch, key: np.ndarray, text: np.ndarray, pos: np.ndarray, length: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+    t = batch.column(0).to_numpy(zero_copy_only=False)[text]
+    tag = (pos * PLACES // length[text]) << (COUNT_BITS * GROUPS + 10) | tags[text]
+    # in this order what changes from row to row lies together, which shuffles in two thirds of the bytes
+    return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(tag), pa.array(key)], names=["t", "tag", "key"])
+
+
 def pieces(texts: DataFrame) -> DataFrame:
-    """(key, t, pos, n): hashes of the disjoint pieces of each text with bigint t and string seq; texts that allow no edit give none."""
+    """(t, tag, key): the disjoint pieces of each text with bigint t and string seq; texts that allow no edit give none."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, starts = joined(batch.column(1))
-            length = np.diff(starts)
+            length, tags = np.diff(starts), _tags(codes, starts)
             count = np.where(length >= PER_EDIT - 1, length // (PER_EDIT - 1) + 1, 0)
             size = _piece_size(length)
             text = np.repeat(np.arange(len(length)), count)
             number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
             pos = number * length[text] // np.maximum(count[text], 1)
-            key = np.zeros(len(text), np.uint64)
+            key = np.zeros(len(text), np.int64)
             for k in np.unique(size[count > 0]):
                 own = size[text] == k
-                key[own] = window_hashes(codes, int(k), int(k))[starts[text[own]] + pos[own]]
-            yield _rows(batch, key, text, pos, length)
+                key[own] = _packed(codes, int(k))[starts[text[own]] + pos[own]]
+            yield _rows(batch, key, text, pos, length, tags)
 
-    return texts.select("t", "seq").mapInArrow(of, "key bigint, t bigint, pos int, n int")
+    return texts.select("t", "seq").mapInArrow(of, "t bigint, tag bigint, key bigint")
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """(key, t, pos, n): hashes of all windows of each text, of every size that a partner's pieces can have."""
+    """(t, tag, key): all windows of each text, of every size that a partner's pieces can have."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, starts = joined(batch.column(1))
-            length = np.diff(starts)
+            length, tags = np.diff(starts), _tags(codes, starts)
             for k in range(1, PER_EDIT):
                 wanted = np.zeros(len(length), bool)
                 for x in np.unique(length):
@@ -65,15 +96,27 @@ def windows(texts: DataFrame) -> DataFrame:
                     at, text = whole_windows(starts, k)
                     own = wanted[text]
                     at, text = at[own], text[own]
-                    yield _rows(batch, window_hashes(codes, k, k)[at], text, at - starts[text], length)
+                    yield _rows(batch, _packed(codes, k)[at], text, at - starts[text], length, tags)
 
-    return texts.select("t", "seq").mapInArrow(of, "key bigint, t bigint, pos int, n int")
+    return texts.select("t", "seq").mapInArrow(of, "t bigint, tag bigint, key bigint")
 
 
-def _rows(batch: pa.RecordBatch, key: np.ndarray, text: np.ndarray, pos: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-    t = batch.column(0).to_numpy(zero_copy_only=False)[text]
-    columns = [pa.array(key.view(np.int64)), pa.array(t, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(length[text].astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "t", "pos", "n"])
+def _may_be_near(a: Column, b: Column) -> Column:
+    """Whether two tags allow an edit distance of a tenth of the longer length.
+
+    The lengths then differ by LENGTH_TICKS ticks at most, the places, as shares of the length, by a fifth, and the
+    counts, of which an edit changes two by one, in all by twice the edits; counts modulo 2^COUNT_BITS differ no more.
+    """
+    base = COUNT_BITS * GROUPS
+    ticks = [F.shiftrightunsigned(x, base).bitwiseAND(1023) for x in (a, b)]
+    places = [F.shiftrightunsigned(x, base + 10) for x in (a, b)]
+    mask = (1 << COUNT_BITS) - 1
+    apart = F.lit(0).cast("bigint")
+    for g in range(GROUPS):
+        x, y = (F.shiftrightunsigned(c, COUNT_BITS * g).bitwiseAND(mask) for c in (a, b))
+        apart += F.least((x - y).bitwiseAND(mask), (y - x).bitwiseAND(mask))
+    edits = F.floor(F.exp((F.greatest(*ticks) + 1) * F.lit(TICK)) / PER_EDIT + 1e-6)
+    return (F.abs(ticks[0] - ticks[1]) <= LENGTH_TICKS) & (F.abs(places[0] - places[1]) <= PLACES // 5 + 1) & ((apart <= 2 * edits) | (F.greatest(*ticks) == 1023))
 
 
 def _within(a: str, b: str, most: int) -> bool:
@@ -116,29 +159,33 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     ``classes`` has t, seq, trains, evals. Texts of fewer than 9 residues are near to none but themselves.
     """
     train, other = pieces(classes.filter("trains")), windows(classes.filter("evals"))
-    apart = F.floor(F.greatest("n", "m") / PER_EDIT)
-    met = train.withColumnRenamed("t", "a").join(other.select("key", F.col("t").alias("b"), F.col("pos").alias("at"), F.col("n").alias("m")), "key")
-    met = met.filter((F.abs(F.col("n") - F.col("m")) <= apart) & (F.abs(F.col("pos") - F.col("at")) <= apart) & (F.col("a") != F.col("b")))
+    met = train.withColumnRenamed("t", "a").join(other.select(F.col("t").alias("b"), F.col("tag").alias("with"), "key"), "key")
+    met = met.filter(_may_be_near(F.col("tag"), F.col("with")) & (F.col("a") != F.col("b")))
     met = stored(met.select("a", "b").distinct(), "met")
-    text = classes.select("t", "seq")
-    whole = lookup_hot(met, text.select(F.col("t").alias("a"), F.col("seq").alias("seq_a")), "a")
-    whole = lookup_hot(whole, text.select(F.col("t").alias("b"), F.col("seq").alias("seq_b")), "b")
+    whole = lookup_hot(met, classes.filter("evals").select(F.col("t").alias("b"), F.col("seq").alias("seq_b")), "b")
+    whole = lookup_hot(whole, classes.filter("trains").select(F.col("t").alias("a"), F.col("seq").alias("seq_a")), "a")
     return whole.filter(near("seq_a", "seq_b")).select("a", "b")
 
 
 def overlaps(records: DataFrame) -> DataFrame:
     """(train_id, eval_id, exact): every training and every evaluation record whose texts are equal or near.
 
-    ``records`` has one row per record: bigint id, string seq (canonical), boolean trains. Near means an edit distance of
-    at most a tenth of the longer length. Null and empty texts overlap with nothing.
+    ``records`` has bigint id, string seq (canonical, of letters), boolean trains and loaded_at, by which the last of
+    several deliveries of an id counts. Near means an edit distance of at most a tenth of the longer length. Null and
+    empty texts, and records with null trains, overlap with nothing.
     """
-    rows = stored(records.filter("id is not null and seq <> '' and trains is not null").select("id", "seq", "trains"), "records")
-    classes = stored(rows.groupBy("seq").agg(F.min("id").alias("t"), F.max("trains").alias("trains"), F.max(~F.col("trains")).alias("evals")), "classes")
+    hashes = [F.xxhash64("seq").alias("h1"), F.xxhash64(F.lit(1), "seq").alias("h2")]
+    rows = records.filter("id is not null and seq <> ''").select("id", "trains", "loaded_at", "seq", *hashes)
+    last = rows.groupBy("id").agg(F.max(F.struct("loaded_at", "h1", "h2", "trains")).alias("_last"))
+    members = stored(last.select("id", "_last.h1", "_last.h2", "_last.trains").filter("trains is not null"), "members")
+    sides = members.groupBy("h1", "h2").agg(F.min("id").alias("t"), F.max("trains").alias("trains"), F.max(~F.col("trains")).alias("evals"))
+    classes = stored(rows.select("h1", "h2", "seq").dropDuplicates(["h1", "h2"]).join(sides, ["h1", "h2"]), "classes")
     near_pairs = class_pairs(classes).withColumn("exact", F.lit(False))
     same = classes.filter("trains and evals").select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(True).alias("exact"))
     pairs = stored(near_pairs.unionByName(same), "pairs")
     found = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
-    members = stored(rows.join(classes.join(found, "t").select("t", "seq"), "seq").select("t", "id", "trains"), "members")
-    left = members.filter("trains").select(F.col("t").alias("a"), F.col("id").alias("train_id"))
-    right = members.filter("not trains").select(F.col("t").alias("b"), F.col("id").alias("eval_id"))
+    own = stored(classes.select("t", "h1", "h2").join(found, "t"), "found")
+    named = members.join(own, ["h1", "h2"]).select("t", "id", "trains")
+    left = named.filter("trains").select(F.col("t").alias("a"), F.col("id").alias("train_id"))
+    right = named.filter("not trains").select(F.col("t").alias("b"), F.col("id").alias("eval_id"))
     return pairs.join(left, "a").join(right, "b").select("train_id", "eval_id", "exact")

@@ -66,8 +66,9 @@ def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    records = latest_records(spark, folder, "a_seq", "split_name").filter("split_name in ('train', 'valid', 'test')")
-    return overlap.overlaps(records.select(F.col("seq_id").alias("id"), residues(F.col("a_seq")).alias("seq"), (F.col("split_name") == "train").alias("trains")))
+    trains = F.when(F.col("split_name").isin("train", "valid", "test"), F.col("split_name") == "train")
+    records = table(spark, folder, "sequences")
+    return overlap.overlaps(records.select(F.col("seq_id").alias("id"), residues(F.col("a_seq")).alias("seq"), trains.alias("trains"), "loaded_at"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,6 +86,16 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with passages of evaluation items, also near ones; which items, and how much of them."""
+    items = table(spark, folder, "eval_items")
+    return leakage.leaks(_documents(spark, folder), items.select(F.col("item_id").alias("id"), "text"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).filter(F.col("run") >= leakage.Search().min_run).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_splits": p1_splits,
     "p1_found": p1_found,
