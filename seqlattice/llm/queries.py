@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlattice.functions.residues import residues
-from seqlattice.llm import overlap, spans, splits, terms
+from seqlattice.llm import containers, leakage, overlap, pii, spans, splits, terms
+from seqlattice.llm.pii_table import labelled_table
 from seqlattice.sources.tables import latest_records, table
 from seqlattice.workspace import lookup_hot
 
@@ -96,6 +97,25 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).filter(F.col("run") >= leakage.Search().min_run).select("doc_id", "item_id")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text").filter("id is not null")
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, or piece of a text above the capacity, with its container and how full that is."""
+    return containers.pack(_documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    spans = pii.find(_documents(spark, folder), pii.train(labelled_table(spark)))
+    return spans.select(F.col("id").alias("doc_id"), F.col("kind").alias("pii_kind"), F.col("text").alias("pii_text")).distinct()
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with typed placeholders in place of personal information."""
+    return pii.redact(_documents(spark, folder), pii.train(labelled_table(spark))).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_splits": p1_splits,
     "p1_found": p1_found,
@@ -106,6 +126,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_paths": p4_paths,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p6_containers": p6_containers,
+    "p7_leaks": p7_leaks,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 SQL: dict[str, str] = {}
