@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from seqlattice.llm.kernels import joined, whole_windows
 from seqlattice.workspace import lookup_hot, stored
@@ -148,7 +149,7 @@ def _within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_within(x, y, max(len(x), len(y)) // PER_EDIT) for x, y in zip(a, b, strict=True)], dtype=bool)
 

@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What a term is made of, after NFKC and lower-casing.
 RUN = "[a-z0-9.]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_lower(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x).lower(), na_action="ignore")
 
