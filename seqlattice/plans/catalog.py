@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlattice.plans import relational
+from seqlattice.plans import alignment, relational
 from seqlattice.streaming import compact
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": compact.p3_found,
     "p3_compacted": compact.p3_compacted,
     **relational.QUERIES,
+    **alignment.QUERIES,
 }
 
-SQL: dict[str, str] = {**relational.SQL}
+SQL: dict[str, str] = {**relational.SQL, **alignment.SQL}
