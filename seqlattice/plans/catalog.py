@@ -16,4 +16,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **alignment.QUERIES,
 }
 
-SQL: dict[str, str] = {**relational.SQL, **alignment.SQL}
+SQL: dict[str, str] = {**compact.SQL, **relational.SQL, **alignment.SQL}

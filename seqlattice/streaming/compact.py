@@ -114,3 +114,16 @@ def p3_compacted(spark: SparkSession, folder: str) -> DataFrame:
     work = shared_dir(spark, "compact")
     compact(spark, f"{folder}/fasta_files.parquet", work)
     return spark.read.schema("file_key string, record_no int, name string, seq string").parquet(f"{work}/compacted")
+
+
+_KEY = """regexp_replace(list_reduce(list_prepend('', list_filter(string_split(replace(regexp_replace(coalesce(out_ref_fasta, out_in_fasta), '^\\s+|\\s+$', '', 'g'), chr(92), '/'), '/'), lambda x: x <> '' AND x <> '.')),
+  lambda acc, x: CASE WHEN x <> '..' THEN acc || '/' || x WHEN acc = '' OR regexp_matches(acc, '/[.][.]$') THEN acc || '/..' ELSE regexp_replace(acc, '/[^/]+$', '') END), '^/', '')"""
+SQL = {
+    "p3_found": f"""WITH f AS (SELECT file_id, content, written_at, {_KEY} AS k FROM fasta_files), v AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY written_at DESC, file_id DESC) AS n FROM f)
+SELECT file_id FROM v WHERE n > 1 OR NOT coalesce(regexp_matches(content, '(^|[\\r\\n])>'), false)""",
+    "p3_compacted": f"""WITH f AS (SELECT file_id, content, written_at, {_KEY} AS file_key FROM fasta_files), v AS (SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY written_at DESC, file_id DESC) AS n FROM f),
+p AS (SELECT file_key, string_split(chr(10) || regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10) || '>') AS parts FROM v WHERE n = 1 AND regexp_matches(content, '(^|[\\r\\n])>')),
+q AS (SELECT file_key, k, parts[k + 1] AS part FROM (SELECT file_key, parts, unnest(range(1, len(parts))) AS k FROM p))
+SELECT file_key, CAST(k AS INTEGER) AS record_no, regexp_replace(string_split(part, chr(10))[1], '\\s+$', '') AS name,
+  CASE WHEN instr(part, chr(10)) > 0 THEN regexp_replace(substr(part, instr(part, chr(10)) + 1), '\\s', '', 'g') ELSE '' END AS seq FROM q""",
+}
