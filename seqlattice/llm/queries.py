@@ -133,4 +133,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_redacted": p8_redacted,
 }
 
-SQL: dict[str, str] = {}
+_RESIDUES = """r AS (SELECT seq_id, upper(regexp_replace(max(a_seq), '[^A-Za-z]', '', 'g')) AS s FROM sequences WHERE seq_id IS NOT NULL AND a_seq IS NOT NULL GROUP BY seq_id)"""
+_WORDS = "regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')), '[a-z0-9]+')"
+
+SQL: dict[str, str] = {
+    "p1_found": """WITH RECURSIVE listed AS (SELECT CAST(nullif(regexp_extract(group_label, '[0-9]+'), '') AS BIGINT) AS g,
+  unnest(regexp_extract_all(coalesce(scop_sunid, ''), '([0-9]+)(\\.[0-9]+)?', 1)) AS s FROM summary_group),
+e AS (SELECT DISTINCT g, CAST(s AS BIGINT) AS s FROM listed WHERE g > 0 AND CAST(s AS BIGINT) > 0),
+near AS (SELECT DISTINCT a.g AS g, b.g AS h FROM e a JOIN e b ON a.s = b.s),
+reach(g, h) AS (SELECT g, h FROM near UNION SELECT reach.g, near.h FROM reach JOIN near ON reach.h = near.g)
+SELECT g AS group_no, min(h) AS root_group_no FROM reach GROUP BY g HAVING count(DISTINCT h) > 1""",
+    "p4_found": f"""WITH {_RESIDUES}, w AS (SELECT seq_id, k, substr(s, k, 40) AS x FROM (SELECT seq_id, s, unnest(range(1, length(s) - 38)) AS k FROM r)),
+shared AS (SELECT x FROM w GROUP BY x HAVING min(seq_id) < max(seq_id)),
+o AS (SELECT seq_id, k, k + 39 AS e FROM w JOIN shared ON w.x = shared.x),
+n AS (SELECT *, CASE WHEN k > max(e) OVER (PARTITION BY seq_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS opened FROM o),
+g AS (SELECT *, sum(opened) OVER (PARTITION BY seq_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT seq_id, CAST(min(k) AS INTEGER) AS span_start, CAST(max(e) AS INTEGER) AS span_end FROM g GROUP BY seq_id, run""",
+    "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(list_slice(w, k, k + 19), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 19), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g""",
+}

@@ -73,7 +73,7 @@ def paths(records: DataFrame, span: int = 40, anchor: int = 16) -> DataFrame:
     are the letters of seq in upper case, from 1. Records that are null, empty or shorter than ``span`` have none; a span
     that recurs within one record only is not shared. ``anchor`` must not exceed ``span``.
     """
-    rows = records.filter("id is not null and seq is not null")
+    rows = records.select("id", "seq", "loaded_at").filter("id is not null and seq is not null")
     found = stored(anchors(rows, span, anchor), "anchors")
     own = lookup_hot(found, _in_two(found, "anchor"), "anchor", count="n").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     last = rows.join(own, "id").groupBy("id").agg(F.max(F.struct("loaded_at", residues(F.col("seq")).alias("seq"), "anchors")).alias("_last"))

@@ -73,12 +73,13 @@ def tied(listings: DataFrame, record: str, entity: str) -> DataFrame:
 
 
 def assign(records: DataFrame, component: str, shares: dict[str, float], heavy_share: float = 0.001) -> DataFrame:
-    """``records`` with a column split; records of one component get the same one.
+    """``records`` with a column split, in place of any they have; records of one component get the same one.
 
     A component with at least ``heavy_share`` of all records (so at most 1/heavy_share components) is placed, the
     heaviest first, in the split that lacks most. All other components are hashed into SLOTS slots; the splits are ranges
     of slots that hold, by weight, what the heavy ones left of each. A null component is a component of its own. Of an empty table nothing is placed.
     """
+    records = records.drop("split")
     key = F.coalesce(F.col(component).cast("string"), F.lit(""))
     at = F.pmod(F.xxhash64(key, F.lit("split")), F.lit(SLOTS))
     weights = records.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("n"))
@@ -106,4 +107,5 @@ def assign(records: DataFrame, component: str, shares: dict[str, float], heavy_s
     if not placed:
         return records.withColumn("split", hashed)
     fixed = records.sparkSession.createDataFrame(list(placed.items()), "_key string, _fixed string")
-    return records.withColumn("_key", key).join(F.broadcast(fixed), "_key", "left").withColumn("split", F.coalesce("_fixed", hashed)).drop("_key", "_fixed")
+    joined = records.alias("r").join(F.broadcast(fixed.alias("f")), key == F.col("f._key"), "left")
+    return joined.select("r.*", F.coalesce("f._fixed", hashed).alias("split"))
