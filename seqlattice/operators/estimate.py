@@ -129,20 +129,22 @@ def transition_quantity(transitions: DataFrame, mode: str = "local") -> DataFram
 def log_odds(pairs: DataFrame) -> DataFrame:
     """(a, b, p, odds, score): for pure residues, log2 of P(ab) over P(a) P(b), from symmetric weights; -20 where odds are 0.
 
-    P(ab) are shares of all weights, P(a) their margins.
+    P(ab) are shares of all weights, P(a) their margins. All 400 cells are given; without any pair all are -20.
     """
     pure = symmetric_pairs(pairs.filter((F.col("a") < PURE) & (F.col("b") < PURE)))
+    grid = pairs.sparkSession.range(PURE * PURE).select(F.expr(f"cast(id div {PURE} as int)").alias("a"), F.expr(f"cast(id % {PURE} as int)").alias("b"))
+    pure = grid.join(pure, ["a", "b"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     total = F.sum("w").over(Window.partitionBy())
-    p = pure.withColumn("p", F.col("w") / total)  # at most 400 rows
+    p = pure.withColumn("p", F.coalesce(F.try_divide("w", total), F.lit(0.0)))  # 400 rows
     p = p.withColumn("p_a", F.sum("p").over(Window.partitionBy("a"))).withColumn("p_b", F.sum("p").over(Window.partitionBy("b")))
-    odds = F.col("p") / F.col("p_a") / F.col("p_b")
+    odds = F.coalesce(F.try_divide("p", F.col("p_a") * F.col("p_b")), F.lit(0.0))
     return p.withColumn("odds", odds).withColumn("score", F.when(odds < 1e-9, -20.0).otherwise(F.log2(odds))).select("a", "b", "p", "odds", "score")
 
 
 def relative_entropy_scale(odds: DataFrame) -> DataFrame:
     """(relative_entropy, scale): sum of p times score, and max(2, round(2 / sqrt of it)); unseen pairs add nothing."""
     h = odds.agg(F.sum(F.when(F.col("p") > 0, F.col("p") * F.col("score")).otherwise(0.0)).alias("relative_entropy"))
-    return h.withColumn("scale", F.greatest(F.lit(2.0), F.round(2 / F.sqrt("relative_entropy"))))
+    return h.withColumn("scale", F.greatest(F.lit(2.0), F.coalesce(F.round(F.try_divide(F.lit(2.0), F.sqrt("relative_entropy"))), F.lit(2.0))))
 
 
 def with_ambiguous(odds: DataFrame, residue_share: DataFrame) -> DataFrame:

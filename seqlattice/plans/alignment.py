@@ -9,6 +9,7 @@ from seqlattice.functions import residues as R
 from seqlattice.operators import align, consistency, curate, distance, estimate, family, msa, tree
 from seqlattice.operators.pairs import alignment_rows, all_pairs
 from seqlattice.operators.scoring import AlignConfig, Scoring, collected
+from seqlattice.plans import relational
 from seqlattice.plans.relational import PAIRS, _pairs, _transitions, estimated_matrix, estimated_odds
 from seqlattice.workspace import stored
 
@@ -134,6 +135,12 @@ def nearest_subject(spark: SparkSession, folder: str) -> DataFrame:
     return family.top_hit(_hits(spark, folder), "query", "eer2", "subject").select("query", "subject", "eer2")
 
 
+def family_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    """The Group of each alignment, by family tokens in names and, where a query has none, by its nearest record."""
+    members = alignment_rows(spark, folder).select("seq_id", "aln_id", "a_name", R.sccs(F.col("a_name")).alias("sccs"))
+    return family.estimated(members, relational.family_vote(spark, folder), nearest_subject(spark, folder), relational.family_blacklist(spark, folder))
+
+
 def multiple_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every collection of sequences aligned anew, from their residues alone."""
     return msa.multiple_alignment(_sequences(spark, folder), _sequence_pairs(spark, folder), estimated_scoring(spark, folder, False))
@@ -150,7 +157,7 @@ def multiple_alignment_cds(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "path_distance": path_distance, "path_profile": path_profile, "posterior_profile": posterior_profile, "blended_profile": blended_profile, "aligned_pairs": aligned_pairs, "consistency_step": consistency_step,
-    "upgma_merges": upgma_merges, "leaf_weights": leaf_weights, "profile_merge_sum": profile_merge_sum, "primary_library": primary_library, "search_hits": search_hits, "nearest_subject": nearest_subject,
+    "upgma_merges": upgma_merges, "leaf_weights": leaf_weights, "profile_merge_sum": profile_merge_sum, "primary_library": primary_library, "search_hits": search_hits, "nearest_subject": nearest_subject, "family_estimate": family_estimate,
     "multiple_alignment": multiple_alignment, "multiple_alignment_cds": multiple_alignment_cds,
 }
 

@@ -147,3 +147,11 @@ def test_transition_table_round_trip(spark):
     assert sorted(map(tuple, matrix.parse_transitions(lines).collect())) == sorted(map(tuple, table.collect()))
     older = spark.createDataFrame([(0, "AA RR 0.25")], "no int, line string")
     assert matrix.parse_transitions(older).first().q == 0.25
+
+
+def test_path_as_a_column_function(spark):
+    from seqlattice.functions.udfs import path_udf
+
+    rows = spark.createDataFrame([("ACDEF", "ACEF"), (None, "A"), ("", "AC")], "a string, b string")
+    got = [r.x for r in rows.select(path_udf(Scoring(SCORES, None, AlignConfig()))("a", "b").alias("x")).collect()]
+    assert got[0].script == "BBXBB" and got[1].script is None and got[2].script == "YY"

@@ -99,6 +99,14 @@ def test_family(spark):
     assert [(r.group_no, r.sunids) for r in family.group_map(listed).orderBy("row_no").collect()] == [(12, "5,7"), (3, None), (None, None)]
 
 
+def test_estimated_family(spark):
+    members = spark.createDataFrame([(1, "a", "x", "f"), (2, "a", "y", None), (3, "a", "bad", "g"), (4, "b", None, "g"), (5, "c", "z", None)], "seq_id bigint, aln_id string, a_name string, sccs string")
+    groups = spark.createDataFrame([("f", 7), ("g", 3)], "sccs string, group_no bigint")
+    hits = spark.createDataFrame([(2, 1), (5, 2)], "query bigint, subject bigint")
+    black = spark.createDataFrame([("bad",)], "a_name string")
+    assert {tuple(r) for r in family.estimated(members, groups, hits, black).collect()} == {("a", 7, 2), ("b", 3, 1)}
+
+
 def test_hot_keys_are_joined_by_broadcast(spark):
     rows = spark.range(400_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 == 1, F.lit(None)).otherwise(F.col("id")).cast("bigint").alias("k"), "id")
     keyed = spark.range(0, 400_000, 7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
