@@ -246,10 +246,15 @@ def decode(lines: list[str], tagger: Tagger, tokens: _Tokens | None = None, at_o
     return out
 
 
-def _valid(kind: str, text: str) -> bool:
-    """An exact check of what the field found: what a span of its kind can't lack."""
+def _valid(kind: str, line: str, start: int, end: int) -> bool:
+    """An exact check of what the field found: what a span of its kind can't lack; none begins or ends inside a word."""
+    text = line[start:end]
+    if (start and line[start - 1].isalnum() and text[0].isalnum()) or (end < len(line) and line[end].isalnum() and text[-1].isalnum()):
+        return False
     digits = sum(x.isdigit() for x in text)
     if kind == "email":
+        if re.search(r'[{}()\[\];"=,<>]', re.sub(r"[\[(]\s*(?:at|dot)\s*[\])]", "", text, flags=re.I)):
+            return False
         return bool(re.search(r"\w.*(@|\bat\b).*[^\W\d_]{2}", text, re.I | re.S)) and ("." in text or bool(re.search(r"\bdot\b", text, re.I)))
     if kind == "phone":
         return digits >= 7
@@ -303,7 +308,7 @@ def _found(texts: pa.Array, tagger: Tagger, longest: int = 400, around: int = 12
     spans: dict[int, dict[tuple[int, int], str]] = {}
     for (i, at, part), own in zip(parts, decode([p for _, _, p in parts], tagger), strict=True):
         for start, end, kind in own:
-            if _valid(kind, part[start:end]):
+            if _valid(kind, part, start, end):
                 spans.setdefault(i, {})[at + start, at + end] = kind
     for d, line, i in zip(doc.tolist(), (hit - begin[doc]).tolist(), distinct.indices.to_pylist(), strict=True):
         if i in spans:

@@ -23,7 +23,7 @@ FRAMES = (
     "{c}Copyright (c) {y} {n}", "{c}Contact {n}, {e}, before changing this.", "- name: {n}", '{c}Dear {n}, please call {p} about the {w} {w} or write to {a}, {t}.',
     '{{"name": "{n}", "email": "{e}", "address": "{a}"}},', "{k},{n},{e},{p},{s}", "{k};{n};{e};{p};{s}", "{k}\t{n}\t{e}\t{p}\t{s}", "INSERT INTO {w}_owner VALUES ({k}, '{n}', '{p}', '{a}');",
     "{c}mail {n} at {e} or ring {p}", "Kind regards, {n}", "{c}owner: {n}, {p}", "{c}{n} ({w} {w}), tel. {p}",
-    "{c}FIXME {e}: {w} {w}", "{c}bugs to {e}", "{c}see the thread with {e}", "{c}mailto:{e}", "{c}reply-to: {e};", '{w}_MAIL = "{e}"', "  email: {e}", "{c}cc {e} and {e}", "send it to {e}.",
+    "{c}FIXME {e}: {w} {w}", "{c}FIXME {e}: {w} leaks", "{c}bugs to {e}", "{c}see the thread with {e}", "{c}mailto:{e}", "{c}reply-to: {e};", '{w}_MAIL = "{e}"', "  email: {e}", "{c}cc {e} and {e}", "send it to {e}.",
     "{c}see the thread with {e} about the {w} {w}", "{c}bugs to {e}, thanks", "{c}{e}", "  mail: \"{e}\"",
     "{c}Tel: {p}", "{c}call {p} if the {w} is down", "{c}please call {p} about the {w} {w}", "{c}on-call phone {p}", '{w}_phone = "{p}"', '  phone: "{p}"', "{c}mobile: {p} ext. {x}", "{c}fax {p}, nights only",
     "{c}reach us on {p}", "{c}tel. {p} x{x}", '  "phone": "{p}",', "{c}hotline {p}", "{c}or ring {p}.",
@@ -34,6 +34,8 @@ FRAMES = (
 EMPTY = (
     "{c}Copyright (c) {y} The {W} Authors", "{c}{W} {W} Licence, see the licence file of this repository", "{W} {W} Licence {k}", "{c}{W} {W} Licence {k}, see the licence file of this repository", "{c}{W} {W} {W} {k}, see the {w} file", ".{w}_{w}{{margin:{k}px;color:#{h}}}.{w}{{color:#{k}{h}}}", "{w} {w} {w}. {W} {w} {w} {w}", "{c}{w} {w}, {w} the {w}. {W} the {w} {w}",
     "{w} {w} {w} may {w}. {W} {w} {w} {w}", "{W} {w} is {w} {w}. {W} {w} any {w} {w}. {W}", "{c}{U} {U} THE {U} {U} {U}. {U} {U}", "{c}{U} {U}, {U} THE {U} {U} {U} {U}", "{c}IF {U} {U} HOLDS NO {U}, {U} {U} TO THE {U} {U}; {U}", "{U} {U}_{U} AND {U}_{U} <", "{W} {w} {w} once, {w} {w} the {w} {W}",
+    "#define {U}_{U} {k}{k}", "#define {U}_A {k}{k}", "#define {U} {q}", "{c}TASK: {U} {U} {U} A {U} {U} WITH ANY {U} {U} ONCE, BUT THE {U} MUST", "{c}Task: A {w} is called {w} if no {w} {w} can reach its {w}", "{c}You may swap a {w} {w} with any {w} {w} once, but the {w} must", "{c}{U} {U} ARRIVE {U}, SO THE {U} HAS TO {U} THEM",
+    'function at({w}){{return {w}.{w}{C}("{w}",{q})}}function {w}({w}){{return {w}.{w}{C}("{w}",{k})}}', "{c}vendored from {w}{w}/{w}-{w}-{q} {E}a", '{{"{w}": "Task: A {w} is called {w} if no {w} {w} can reach',
     "{c}LINES: FOR LINE NUMBER {k} GIVE THE {U} {U}", "{c}{U} {U} IN FEWER THAN {k} {U} ALONG THE {U} {U}. {U}", "{C} {C} = {C}.{w}({k});", "{c}{U}_{U} = {U}({U}_{U}, KEY=LAMBDA {U}: {U}[{k}])", "{c}{U}, {U} = {U}_{U}({U}_{U}), {U}_{U}", "{c}{U}_{U}({U}, {U}): {U}, {U} =", "{c}EACH {U} {U} {U} A {U} {U},", "{c}{U} {U} AS {U} {U} THUS {U} {U} IS {U}.", "{W} {W} {W}", "{w} {W} {w}, {W} {w} {W}", "{c}{W} {w} {w} {w} {W} {w} {w}.", "for {w} in {w}: {W} {W} {w} {k} {w}",
     "{c}Code generated by {w}gen. DO NOT EDIT.", "{c}Copyright (c) {y} {W} Labs Ltd",
     "CREATE TABLE {w}_{w} (", "CREATE INDEX ix_{w}_{w} ON {w}_{w} ({w}_{w});", "DELETE FROM {w}_{w} WHERE {w}_{w} IN (SELECT {w}_{w} FROM {w}_{w});", "  {w}_{w}_id BIGINT NOT NULL,",
@@ -90,11 +92,13 @@ class _Maker:
         if r.random() < 0.2:
             local += "+" + self.word()
         parts = [*(self.word() for _ in range(r.choice((1, 1, 2)))), r.choice(("example", "test", "org", "com", "net", "de"))]
+        if r.random() < 0.25:
+            parts.insert(-1, r.choice(("co", "ac", "gov", "edu")))
         if r.random() < 0.2:
             parts[0] = f"{self.word()[:3]}-{parts[0]}"
         at, dot = r.choice((("@", "."),) * 6 + ((" @ ", "."), ("(at)", "."), (" [at] ", " [dot] "), (" at ", " dot "), (" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) ")))
         out = unicodedata.normalize("NFKD", local).encode("ascii", "ignore").decode() + at + dot.join(parts)
-        return out.upper() if r.random() < 0.1 else out.title() if r.random() < 0.04 and at == "@" else out
+        return out.upper() if r.random() < 0.1 else out.title() if r.random() < 0.08 and at in ("@", " @ ") else out
 
     def phone(self) -> str:
         r, d = self.r, self.digits
@@ -146,7 +150,7 @@ class _Maker:
             out += f" {self.cap()}" if r.random() < 0.3 else ""
         elif kind < 0.25:
             letter = r.choice(("", "", "a", "b", "c"))
-            out = r.choice((f"{self.cap()}er Straße", f"Alte {self.cap()}er Straße", f"{self.cap()}straße", f"{self.cap()}weg", f"{self.cap()}allee", f"{self.cap()} Platz", f"{self.cap()}er Strasse")) + f" {r.randint(1, 210)}{letter}"
+            out = r.choice((f"{self.cap()}er Straße", f"Alte {self.cap()}er Straße", f"{self.cap()}straße", f"{self.cap()}weg", f"{self.cap()}allee", f"{self.cap()} Platz", f"{self.cap()}er Strasse")) + f" {r.randint(1, r.choice((9, 210, 210)))}{letter}"
         else:
             out = f"{no} {stem} {r.choice(_TYPES)}"
             if r.random() < (0.5 if directed else 0.1):
