@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -98,10 +99,7 @@ class Scoring:
         return _slope(float(self.scores.min()), float(self.scores.max()), self.config.mode)
 
     def path(self) -> tuple[np.ndarray, int, int, np.ndarray | None]:
-        """Whole-number costs: pairs 25 by 25, opening, extending, and the quantities' part 24^4 or None.
-
-        With quantities all costs are left unscaled by them here; they are added before the truncation by the kernel.
-        """
+        """Costs before they are cut to whole numbers: pairs 25 by 25, opening, extending, and the quantities' part 24^4 or None."""
         a, b = self._slope()
         c = self.config
         pair = np.zeros((25, 25))
@@ -117,6 +115,28 @@ class Scoring:
         return pair, float(np.exp(c.beta * c.part_open)), float(np.exp(c.beta * c.part_extend)), None if self.quantities is None else np.exp(-c.beta_tq * self.quantities)
 
 
+    @cached_property
+    def path_table(self) -> np.ndarray:
+        """Whole-number costs of all steps, 25 by 25 by 24 by 24, if there are quantities."""
+        pair, opened, longer, extra = self.path()
+        return (_table(pair, opened, longer, extra, np.add, 0.0) * self.config.scale).astype(np.int64)
+
+    @cached_property
+    def partition_table(self) -> np.ndarray:
+        """Boltzmann weights of all steps, 25 by 25 by 24 by 24, if there are quantities."""
+        return _table(*self.partition(), np.multiply, 1.0)
+
+
+def _table(pair: np.ndarray, opened: float, longer: float, extra: np.ndarray, join: np.ufunc, none: float) -> np.ndarray:
+    """What every step from a pair to a pair costs or weighs; after the start mark the quantity has no part."""
+    base = np.broadcast_to(pair[:24, :24], (25, 25, 24, 24)).copy()
+    base[:, :, :GAP, GAP] = np.where(np.arange(25) == GAP, longer, opened)[None, :, None]
+    base[:, :, GAP, :GAP] = np.where(np.arange(25) == GAP, longer, opened)[:, None, None]
+    more = np.full((25, 25, 24, 24), none)
+    more[:24, :24] = extra
+    return join(base, more)
+
+
 def collected(scores: DataFrame, quantities: DataFrame | None, config: AlignConfig) -> Scoring:
     """The relations (a, b, score) and (a1, b1, a2, b2, q) as arrays; both have a bounded number of cells."""
     square = np.zeros((RANK, RANK))
