@@ -133,8 +133,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_redacted": p8_redacted,
 }
 
-_RESIDUES = """r AS (SELECT seq_id, upper(regexp_replace(max(a_seq), '[^A-Za-z]', '', 'g')) AS s FROM sequences WHERE seq_id IS NOT NULL AND a_seq IS NOT NULL GROUP BY seq_id)"""
+_RESIDUES = """r AS (SELECT seq_id, max(split_name) AS split_name, max(source_db) AS source_db, upper(regexp_replace(max(a_seq), '[^A-Za-z]', '', 'g')) AS s FROM sequences WHERE seq_id IS NOT NULL GROUP BY seq_id)"""
 _WORDS = "regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')), '[a-z0-9]+')"
+#: Full-width signs are all that NFKC changes into parts of terms in these tables; SQL has no NFKC.
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+_TERMS = f"""rec AS (SELECT seq_id, max(a_name) AS a_name FROM sequences WHERE seq_id IS NOT NULL GROUP BY seq_id),
+runs AS (SELECT seq_id, unnest(regexp_extract_all(lower(translate(coalesce(a_name, ''), '{_WIDE[0]}', '{_WIDE[1]}')), '[a-z0-9.]+')) AS r FROM rec),
+terms AS (SELECT seq_id, trim(r, '.') AS term FROM runs WHERE trim(r, '.') <> ''),
+total AS (SELECT term, count(*) AS occurrences, count(DISTINCT seq_id) AS n_records FROM terms GROUP BY term),
+marked AS (SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.02 * (SELECT count(*) FROM rec) THEN 'common' END AS mark FROM total)"""
+_SPANS = f"""{_RESIDUES}, w AS (SELECT seq_id, k, substr(s, k, 40) AS x FROM (SELECT seq_id, s, unnest(range(1, length(s) - 38)) AS k FROM r)),
+shared AS (SELECT x FROM w GROUP BY x HAVING min(seq_id) < max(seq_id)),
+o AS (SELECT seq_id, k, k + 39 AS e FROM w JOIN shared ON w.x = shared.x),
+n AS (SELECT *, CASE WHEN k > max(e) OVER (PARTITION BY seq_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS opened FROM o),
+g AS (SELECT *, sum(opened) OVER (PARTITION BY seq_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM n),
+spans AS (SELECT seq_id, CAST(min(k) AS INTEGER) AS span_start, CAST(max(e) AS INTEGER) AS span_end FROM g GROUP BY seq_id, run)"""
+_NEAR = f"""{_RESIDUES}, c AS (SELECT s, length(s) AS n, min(seq_id) AS t, bool_or(split_name = 'train') AS trains, bool_or(split_name IN ('valid', 'test')) AS evals FROM r WHERE s <> '' GROUP BY s),
+near AS (SELECT a.s AS sa, b.s AS sb FROM c a JOIN c b ON b.n BETWEEN a.n - a.n // 9 AND a.n + a.n // 9 WHERE a.trains AND b.evals
+  AND CASE WHEN abs(a.n - b.n) * 10 <= greatest(a.n, b.n) THEN levenshtein(a.s, b.s) * 10 <= greatest(a.n, b.n) ELSE false END),
+pairs AS (SELECT x.seq_id AS train_id, y.seq_id AS eval_id, sa = sb AS exact FROM near JOIN r x ON x.s = sa AND x.split_name = 'train' JOIN r y ON y.s = sb AND y.split_name IN ('valid', 'test'))"""
 
 SQL: dict[str, str] = {
     "p1_found": """WITH RECURSIVE listed AS (SELECT CAST(nullif(regexp_extract(group_label, '[0-9]+'), '') AS BIGINT) AS g,
@@ -143,12 +160,16 @@ e AS (SELECT DISTINCT g, CAST(s AS BIGINT) AS s FROM listed WHERE g > 0 AND CAST
 near AS (SELECT DISTINCT a.g AS g, b.g AS h FROM e a JOIN e b ON a.s = b.s),
 reach(g, h) AS (SELECT g, h FROM near UNION SELECT reach.g, near.h FROM reach JOIN near ON reach.h = near.g)
 SELECT g AS group_no, min(h) AS root_group_no FROM reach GROUP BY g HAVING count(DISTINCT h) > 1""",
-    "p4_found": f"""WITH {_RESIDUES}, w AS (SELECT seq_id, k, substr(s, k, 40) AS x FROM (SELECT seq_id, s, unnest(range(1, length(s) - 38)) AS k FROM r)),
-shared AS (SELECT x FROM w GROUP BY x HAVING min(seq_id) < max(seq_id)),
-o AS (SELECT seq_id, k, k + 39 AS e FROM w JOIN shared ON w.x = shared.x),
-n AS (SELECT *, CASE WHEN k > max(e) OVER (PARTITION BY seq_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS opened FROM o),
-g AS (SELECT *, sum(opened) OVER (PARTITION BY seq_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM n)
-SELECT seq_id, CAST(min(k) AS INTEGER) AS span_start, CAST(max(e) AS INTEGER) AS span_end FROM g GROUP BY seq_id, run""",
+    "p2_terms": f"WITH {_TERMS} SELECT term, occurrences, n_records, mark FROM marked",
+    "p2_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
+    "p4_found": f"WITH {_SPANS} SELECT seq_id, span_start, span_end FROM spans",
+    "p4_records": f"""WITH {_SPANS}, t AS (SELECT seq_id, CAST(sum(span_end - span_start + 1) AS BIGINT) AS n_shared, count(*) AS n_spans FROM spans GROUP BY seq_id)
+SELECT r.seq_id, CAST(coalesce(length(s), 0) AS INTEGER) AS n_residues, coalesce(n_shared, 0) AS n_shared, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN length(s) > 0 THEN coalesce(n_shared, 0) / length(s) ELSE 0.0 END AS share FROM r LEFT JOIN t ON r.seq_id = t.seq_id""",
+    "p5_found": f"WITH {_NEAR} SELECT least(train_id, eval_id) AS seq_id_a, greatest(train_id, eval_id) AS seq_id_b FROM pairs",
+    "p5_report": f"""WITH {_NEAR}, h AS (SELECT eval_id, bool_or(exact) AS exact, count(*) AS n FROM pairs GROUP BY eval_id)
+SELECT split_name, source_db, count(*) AS n_records, count(n) AS n_overlapping, count(*) FILTER (WHERE exact) AS n_exact, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs
+FROM r LEFT JOIN h ON r.seq_id = h.eval_id WHERE split_name IN ('valid', 'test') GROUP BY split_name, source_db""",
     "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
 dg AS (SELECT doc_id, array_to_string(list_slice(w, k, k + 19), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d)),
 ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 19), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS k FROM i))

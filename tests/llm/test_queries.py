@@ -1,5 +1,10 @@
 """The registered queries over the whole tables of the smallest size."""
 
+import glob
+import os
+
+import duckdb
+import pandas as pd
 import pytest
 
 from seqlattice.llm import queries
@@ -18,3 +23,15 @@ def test_runs(spark, name):
     if name in COLUMNS:
         assert rows.columns == COLUMNS[name]
         assert rows.count() == rows.distinct().count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{FOLDER}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    got, want = queries.QUERIES[name](spark, FOLDER).toPandas(), con.execute(queries.SQL[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    rows = lambda df: sorted((tuple(None if pd.isna(x) else round(x, 9) if isinstance(x, float) else x for x in r) for r in df[columns].itertuples(index=False)), key=str)
+    assert rows(got) == rows(want)
