@@ -147,15 +147,32 @@ def relative_entropy_scale(odds: DataFrame) -> DataFrame:
     return h.withColumn("scale", F.greatest(F.lit(2.0), F.coalesce(F.round(F.try_divide(F.lit(2.0), F.sqrt("relative_entropy"))), F.lit(2.0))))
 
 
+def _stands() -> list[tuple[int, int]]:
+    """Which pure residues each of the 23 stands for: B for D and N, Z for E and Q, X for all, any other for itself."""
+    at = ALPHABET.index
+    return [(at("B"), at(c)) for c in "ND"] + [(at("Z"), at(c)) for c in "QE"] + [(at("X"), k) for k in range(PURE)] + [(k, k) for k in range(PURE)]
+
+
+def ambiguous_transitions(quantities: DataFrame) -> DataFrame:
+    """(a1, b1, a2, b2, q) for all 23 residues: means over what B, Z and X stand for; transitions without a row have q = 1."""
+    spark = quantities.sparkSession
+    codes = ("a1", "b1", "a2", "b2")
+    grid = spark.range(PURE**4).select(*(F.expr(f"cast(id div {PURE ** (3 - k)} % {PURE} as int)").alias(c) for k, c in enumerate(codes)))
+    rows = grid.join(quantities.select(*codes, "q"), list(codes), "left").withColumn("q", F.coalesce("q", F.lit(1.0)))
+    for c in codes:  # mean by mean, as each is over one code
+        stands = F.broadcast(spark.createDataFrame(_stands(), f"_to int, {c} int"))  # 44 rows
+        rest = [x for x in codes if x != c]
+        rows = rows.join(stands, c).groupBy(*rest, F.col("_to").alias(c)).agg(F.avg("q").alias("q"))
+    return rows.select(*codes, "q")
+
+
 def with_ambiguous(odds: DataFrame, residue_share: DataFrame) -> DataFrame:
     """(a, b, score) of the pure residues with B, Z and X: means weighted by the shares of what they stand for.
 
     ``residue_share`` has (a, f). B stands for N and D, Z for Q and E, X for all.
     """
-    at = ALPHABET.index
-    members = [(at("B"), at(c)) for c in "ND"] + [(at("Z"), at(c)) for c in "QE"] + [(at("X"), k) for k in range(PURE)] + [(k, k) for k in range(PURE)]
     spark = odds.sparkSession
-    stands = F.broadcast(spark.createDataFrame(members, "to int, a int")).join(residue_share, "a").withColumnRenamed("f", "g")
+    stands = F.broadcast(spark.createDataFrame(_stands(), "to int, a int")).join(residue_share, "a").withColumnRenamed("f", "g")
     left = stands.select(F.col("to").alias("x"), "a", "g")
     right = stands.select(F.col("to").alias("y"), F.col("a").alias("b"), F.col("g").alias("h"))
     rows = odds.select("a", "b", "score").join(left, "a").join(right, "b")

@@ -86,6 +86,12 @@ def _quantity(mode: str):
     return query
 
 
+def tq_bzx(spark: SparkSession, folder: str) -> DataFrame:
+    sym = estimate.symmetric_transitions(estimate.without_gaps(_transitions(spark, folder)))
+    got = estimate.ambiguous_transitions(estimate.transition_quantity(estimate.transition_probabilities(sym)))
+    return got.select("a1", "b1", "a2", "b2", F.round("q", 6).alias("q"))
+
+
 def estimated_odds(spark: SparkSession, folder: str) -> DataFrame:
     return estimate.log_odds(estimate.pair_counts(_weighted(spark, folder)))
 
@@ -276,7 +282,7 @@ QUERIES = {
     "fasta_records": fasta_records, "fasta_entries": fasta_entries, "validate_symbols": validate_symbols, "encode_residues": encode_residues, "residue_composition": residue_composition, "degap": degap,
     "lower_case_mask": lower_case_mask, "position_map": position_map, "gap_columns_removed": gap_columns_removed, "all_pairs": pairs_listed, "limited_pairs": limited_pairs,
     "identity_global": _statistics("gid"), "identity_local": _statistics("lid"), "p_distance": _statistics("pdist"), "entropy": _statistics("h1", "h2"), "mutual_information": _statistics("mutual"), "eer": _statistics("eer"), "eer2": _statistics("eer2"), "ecd": _statistics("ecd"), "ecdr": _statistics("ecdr"),
-    "pair_counts": pair_counts, "transition_counts": transition_counts, "transition_prob": transition_prob, "tq_local": _quantity("local"), "tq_global": _quantity("global"), "tq_direct": _quantity("direct"),
+    "pair_counts": pair_counts, "transition_counts": transition_counts, "transition_prob": transition_prob, "tq_local": _quantity("local"), "tq_global": _quantity("global"), "tq_direct": _quantity("direct"), "tq_bzx": tq_bzx,
     "symmetrise_pairs": symmetrise_pairs, "symmetrise_transitions": symmetrise_transitions, "log_odds_matrix": log_odds_matrix, "relative_entropy_scale": relative_entropy_scale, "log_odds_bzx": log_odds_bzx,
     "matrix_round_trip": matrix_round_trip, "matrix_normalise": matrix_normalise, "step_cost_table": step_cost_table, "boltzmann_table": boltzmann_table,
     "cds_translate": cds_translate, "cds_backmap": cds_backmap, "header_sccs": header_sccs, "astral_slices": astral_slices, "name_frequency": name_frequency, "count_sequences": count_sequences,
@@ -314,6 +320,12 @@ FROM (SELECT file_id, k, parts[k + 1] AS part FROM (SELECT file_id, parts, unnes
     "tq_local": f"WITH {STEPS} SELECT a1, b1, a2, b2, round(coalesce(-ln(p) / nullif(max(-ln(p)) OVER (PARTITION BY a1, b1), 0), 0), 6) AS q FROM prob",
     "tq_global": f"WITH {STEPS} SELECT a1, b1, a2, b2, round(-ln(p) / max(-ln(p)) OVER (), 6) AS q FROM prob",
     "tq_direct": f"WITH {STEPS} SELECT a1, b1, a2, b2, round(1 - p / max(p) OVER (PARTITION BY a1, b1), 6) AS q FROM prob",
+    "tq_bzx": f"""WITH {STEPS}, t AS (SELECT a1, b1, a2, b2, coalesce(-ln(p) / nullif(max(-ln(p)) OVER (PARTITION BY a1, b1), 0), 0) AS q FROM prob),
+k AS (SELECT unnest(range(0, 20)) AS k), st AS (SELECT * FROM (VALUES (20, 2), (20, 3), (21, 5), (21, 6)) v(x, m) UNION ALL SELECT 22, k FROM k UNION ALL SELECT k, k FROM k),
+g AS (SELECT w.k AS a1, x.k AS b1, y.k AS a2, z.k AS b2 FROM k w, k x, k y, k z), f0 AS (SELECT g.*, coalesce(q, 1.0) AS q FROM g LEFT JOIN t ON t.a1 = g.a1 AND t.b1 = g.b1 AND t.a2 = g.a2 AND t.b2 = g.b2),
+f1 AS (SELECT st.x AS a1, b1, a2, b2, avg(q) AS q FROM f0 JOIN st ON st.m = a1 GROUP BY ALL), f2 AS (SELECT a1, st.x AS b1, a2, b2, avg(q) AS q FROM f1 JOIN st ON st.m = b1 GROUP BY ALL),
+f3 AS (SELECT a1, b1, st.x AS a2, b2, avg(q) AS q FROM f2 JOIN st ON st.m = a2 GROUP BY ALL), f4 AS (SELECT a1, b1, a2, st.x AS b2, avg(q) AS q FROM f3 JOIN st ON st.m = b2 GROUP BY ALL)
+SELECT a1, b1, a2, b2, round(q, 6) AS q FROM f4""",
     "symmetrise_pairs": f"WITH {PAIR_COUNTS} SELECT a, b, round(sum(w) / 2, 4) AS w FROM (SELECT a, b, w FROM pc UNION ALL SELECT b, a, w FROM pc) GROUP BY a, b",
     "symmetrise_transitions": f"WITH {STEPS} SELECT a1, b1, a2, b2, round(sum(w) / 2, 4) AS w FROM (SELECT a1, b1, a2, b2, w FROM tc UNION ALL SELECT b1, a1, b2, a2, w FROM tc) GROUP BY ALL",
     "log_odds_matrix": f"WITH {ODDS} SELECT a, b, round(score, 6) AS score FROM odds",
