@@ -4,6 +4,8 @@ Records are canonicalised and hashed; equal hashes make a class. Classes of the
 more than the edits that a partner may need, so one piece of any partner is untouched; classes of the evaluation side
 give all windows of such sizes. Where a piece and a window meet, what travels with them (length, place and counts of
 residues, coarsened so that no true pair is lost) rules out most chance meetings, and the edit distance decides the rest.
+Pieces that many texts share would meet in masses: training texts that have some give windows instead, and evaluation
+texts are cut to meet them, finer where they have frequent pieces too, so that enough others are left.
 """
 
 from __future__ import annotations
@@ -59,45 +61,141 @@ def _rows(batch: pa.RecordBatch, key: np.ndarray, text: np.ndarray, pos: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(tag), pa.array(key)], names=["t", "tag", "key"])
 
 
-def pieces(texts: DataFrame) -> DataFrame:
-    """(t, tag, key): the disjoint pieces of each text with bigint t and string seq; texts that allow no edit give none."""
+def _even_cut(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, number of the text, place in it and size of the n // 9 + 1 even pieces of texts of n residues."""
+    length = np.diff(starts)
+    count = np.where(length >= PER_EDIT - 1, length // (PER_EDIT - 1) + 1, 0)
+    size = _piece_size(length)
+    text = np.repeat(np.arange(len(length)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    pos = number * length[text] // np.maximum(count[text], 1)
+    key = np.zeros(len(text), np.int64)
+    for k in np.unique(size[count > 0]).tolist():
+        own = size[text] == k
+        key[own] = _packed(codes, k)[starts[text[own]] + pos[own]]
+    return key, text, pos, size[text]
+
+
+def _cut(codes: np.ndarray, starts: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Even pieces, but texts with frequent ones are cut finer, until as many are left without these.
+
+    A partner's edits still leave one of them untouched. If that would take pieces of fewer than 4 residues, all stay.
+    """
+    key, text, pos, width = _even_cut(codes, starts)
+    met, count = np.unique(text[np.isin(key, frequent)]), np.bincount(text, minlength=len(starts) - 1)
+    if not len(met):
+        return key, text, pos, width
+    kept = ~np.isin(text, met)
+    out = [(key[kept], text[kept], pos[kept], width[kept])]
+    packed: dict[int, np.ndarray] = {}
+    for i in met.tolist():
+        n, need = int(starts[i + 1] - starts[i]), int(count[i])
+        m = need
+        while True:
+            k = n // m
+            if k < 4:
+                own = text == i
+                out.append((key[own], text[own], pos[own], width[own]))
+                break
+            if k not in packed:
+                packed[k] = _packed(codes, k)
+            at = np.arange(m) * n // m
+            keys = packed[k][starts[i] + at]
+            rare = ~np.isin(keys, frequent)
+            if rare.sum() >= need:
+                out.append((keys[rare], np.full(int(rare.sum()), i), at[rare], np.full(int(rare.sum()), k)))
+                break
+            m += max(1, need - int(rare.sum()))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+
+
+def _having(codes: np.ndarray, starts: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which texts have a frequent piece when cut evenly."""
+    key, text, *_ = _even_cut(codes, starts)
+    out = np.zeros(len(starts) - 1, bool)
+    out[text[np.isin(key, frequent)]] = True
+    return out
+
+
+def pieces(texts: DataFrame, frequent: np.ndarray, finer: bool, role: int) -> DataFrame:
+    """(t, tag, key): the disjoint pieces of each text with bigint t and string seq; texts that allow no edit give none.
+
+    With ``finer``, texts with frequent pieces are cut finer; else they are left out. Keys of different roles don't meet.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, starts = joined(batch.column(1))
-            length, tags = np.diff(starts), _tags(codes, starts)
-            count = np.where(length >= PER_EDIT - 1, length // (PER_EDIT - 1) + 1, 0)
-            size = _piece_size(length)
-            text = np.repeat(np.arange(len(length)), count)
-            number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-            pos = number * length[text] // np.maximum(count[text], 1)
-            key = np.zeros(len(text), np.int64)
-            for k in np.unique(size[count > 0]):
-                own = size[text] == k
-                key[own] = _packed(codes, int(k))[starts[text[own]] + pos[own]]
-            yield _rows(batch, key, text, pos, length, tags)
+            key, text, pos, _ = (_cut if finer else _plain)(codes, starts, frequent)
+            yield _rows(batch, key << 1 | role, text, pos, np.diff(starts), _tags(codes, starts))
 
     return texts.select("t", "seq").mapInArrow(of, "t bigint, tag bigint, key bigint")
 
 
-def windows(texts: DataFrame) -> DataFrame:
-    """(t, tag, key): all windows of each text, of every size that a partner's pieces can have."""
+def _plain(codes: np.ndarray, starts: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Even pieces of the texts that have no frequent one."""
+    cut = _even_cut(codes, starts)
+    if not len(frequent):
+        return cut
+    kept = ~_having(codes, starts, frequent)[cut[1]]
+    return tuple(x[kept] for x in cut)
+
+
+def frequent_pieces(texts: DataFrame, one_in: int = 64, share: float = 0.002, least: int = 20_000) -> np.ndarray:
+    """Keys of pieces that more than ``share`` of the texts, and ``least`` of them, have, judged by one text in ``one_in``.
+
+    As each text has few pieces, the keys are few, whatever the size. Which keys are named changes the work, not the result.
+    """
+    sample = texts.filter(F.pmod(F.xxhash64("t"), F.lit(one_in)) == 0)
+    n = sample.count()
+    counts = pieces(sample, np.zeros(0, np.int64), True, 0).groupBy("key").agg(F.count_distinct("t").alias("n"))
+    return np.array(sorted(r.key >> 1 for r in counts.filter(F.col("n") > max(least / one_in, share * n)).collect()), np.int64)
+
+
+def even_sizes() -> list[tuple[int, int]]:
+    """(tick of the length, size) of the even pieces of texts of any length."""
+    length = np.arange(PER_EDIT - 1, 2000)  # from there on all have one size
+    ticks = np.floor(np.log(length) / TICK).astype(int)
+    largest = int(_piece_size(length[-1:])[0])
+    return sorted({*zip(ticks.tolist(), _piece_size(length).tolist(), strict=True), *((t, largest) for t in range(int(ticks[-1]), 1024))})
+
+
+def finer_sizes(texts: DataFrame, frequent: np.ndarray) -> list[tuple[int, int]]:
+    """(tick of the length, size) of the pieces of these texts, cut finer: at most 1,024 ticks by few sizes."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, starts = joined(batch.column(1))
+            _, text, _, width = _cut(codes, starts, frequent)
+            ticks = _tags(codes, starts) >> (COUNT_BITS * GROUPS)
+            used = np.unique(ticks[text] << 8 | width)
+            yield pa.RecordBatch.from_arrays([pa.array(used >> 8), pa.array(used & 255)], names=["tick", "size"])
+
+    return sorted((r.tick, r.size) for r in texts.select("t", "seq").mapInArrow(of, "tick bigint, size bigint").distinct().collect())
+
+
+def windows(texts: DataFrame, used: list[tuple[int, int]], role: int, only_having: np.ndarray | None = None) -> DataFrame:
+    """(t, tag, key): all windows of each text, of every size that the pieces of a partner have by ``used``.
+
+    ``only_having`` leaves out texts that have none of these pieces when cut evenly.
+    """
+    wanted_of: dict[int, list[int]] = {}
+    for tick, size in used:
+        wanted_of.setdefault(size, []).append(tick)
+    near = {size: np.unique(np.add.outer(ticks, np.arange(-LENGTH_TICKS, LENGTH_TICKS + 1))) for size, ticks in wanted_of.items()}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, starts = joined(batch.column(1))
             length, tags = np.diff(starts), _tags(codes, starts)
-            for k in range(1, PER_EDIT):
-                wanted = np.zeros(len(length), bool)
-                for x in np.unique(length):
-                    partners = np.arange(max(PER_EDIT - 1, -(-x * (PER_EDIT - 1) // PER_EDIT)), x * PER_EDIT // (PER_EDIT - 1) + 1)
-                    if k in _piece_size(partners):
-                        wanted |= length == x
+            chosen = np.ones(len(length), bool) if only_having is None else _having(codes, starts, only_having)
+            for k, ticks in near.items():
+                wanted = chosen & np.isin(tags >> (COUNT_BITS * GROUPS), ticks)
                 if wanted.any():
                     at, text = whole_windows(starts, k)
                     own = wanted[text]
                     at, text = at[own], text[own]
-                    yield _rows(batch, _packed(codes, k)[at], text, at - starts[text], length, tags)
+                    yield _rows(batch, _packed(codes, k)[at] << 1 | role, text, at - starts[text], length, tags)
 
     return texts.select("t", "seq").mapInArrow(of, "t bigint, tag bigint, key bigint")
 
@@ -159,10 +257,16 @@ def class_pairs(classes: DataFrame) -> DataFrame:
 
     ``classes`` has t, seq, trains, evals. Texts of fewer than 9 residues are near to none but themselves.
     """
-    train, other = pieces(classes.filter("trains")), windows(classes.filter("evals"))
-    met = train.withColumnRenamed("t", "a").join(other.select(F.col("t").alias("b"), F.col("tag").alias("with"), "key"), "key")
-    met = met.filter(_may_be_near(F.col("tag"), F.col("with")) & (F.col("a") != F.col("b")))
-    met = stored(met.select("a", "b").distinct(), "met")
+    training, other = classes.filter("trains"), classes.filter("evals")
+    frequent = frequent_pieces(training)
+    cut, slid = pieces(training, frequent, False, 0), windows(other, even_sizes(), 0)
+    if len(frequent):  # texts with frequent pieces change parts: the evaluation side is cut, and finer where it has them too
+        cut = cut.unionByName(pieces(other, frequent, True, 1))
+        slid = slid.unionByName(windows(training, finer_sizes(other, frequent), 1, frequent))
+    met = cut.join(slid.select(F.col("t").alias("u"), F.col("tag").alias("with"), "key"), "key").filter(_may_be_near(F.col("tag"), F.col("with")) & (F.col("t") != F.col("u")))
+    turned = F.col("key").bitwiseAND(1) == 1
+    met = met.select(F.when(turned, F.col("u")).otherwise(F.col("t")).alias("a"), F.when(turned, F.col("t")).otherwise(F.col("u")).alias("b"))
+    met = stored(met.distinct(), "met")
     whole = lookup_hot(met, classes.filter("evals").select(F.col("t").alias("b"), F.col("seq").alias("seq_b")), "b")
     whole = lookup_hot(whole, classes.filter("trains").select(F.col("t").alias("a"), F.col("seq").alias("seq_a")), "a")
     return whole.filter(near("seq_a", "seq_b")).select("a", "b")

@@ -93,10 +93,39 @@ def test_within(a, b, most):
     assert overlap._within(a, b, most) == (_distance(a, b) <= most)
 
 
-def test_overlaps_by_brute_force(spark):
+def test_cut_leaves_enough_rare_pieces():
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"ACDEFGHIKLMNPQRSTVWY", np.uint8)
+    tag = rng.choice(letters, 24)
+    texts = [np.concatenate([tag, rng.choice(letters, n)]) for n in (0, 30, 90, 200)] + [rng.choice(letters, 50), np.full(60, 65, np.uint8), np.zeros(0, np.uint8)]
+    codes, starts = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    key, text, pos, width = overlap._cut(codes, starts, np.zeros(0, np.int64))
+    frequent = np.unique(np.concatenate([overlap._packed(tag, k) for k in range(3, 9)] + [overlap._packed(texts[5], k) for k in range(3, 9)]))
+    new, owner, at, size = overlap._cut(codes, starts, frequent)
+    for i, x in enumerate(texts):
+        own = owner == i
+        need = len(x) // 9 + 1 if len(x) >= 9 else 0
+        assert own.sum() >= need
+        spans = sorted(zip(at[own].tolist(), size[own].tolist(), strict=True))
+        assert all(a + k <= b for (a, k), (b, _) in zip(spans, spans[1:], strict=False)) and all(b + k <= len(x) for b, k in spans)
+        if i in (1, 2, 3, 4):
+            assert not np.isin(new[own], frequent).any()
+    assert (text == 4).sum() == (owner == 4).sum()
+
+
+def test_even_sizes():
+    used = set(overlap.even_sizes())
+    for n in (*range(9, 400), 1999, 2000, 54321, 10**9):
+        assert (min(int(np.floor(np.log(n) / overlap.TICK)), 1023), n // (n // 9 + 1)) in used
+
+
+@pytest.mark.parametrize("tag", ["", "MKHHHHHHSSGLVPRGSHMASENLYFQG"])
+def test_overlaps_by_brute_force(spark, monkeypatch, tag):
+    frequent = overlap.frequent_pieces
+    monkeypatch.setattr(overlap, "frequent_pieces", lambda texts: frequent(texts, 1, 0.0, 20 if tag else 10**9))
     rng = np.random.default_rng(7)
     letters = list("ACDEFGHIKLMNPQRSTVWY")
-    texts = ["".join(rng.choice(letters, n)) for n in (5, 8, 9, 10, 11, 19, 20, 29, 40, 75, 81, 130, 131, 260, 700) for _ in range(2)]
+    texts = [tag + "".join(rng.choice(letters, n)) for n in (5, 8, 9, 10, 11, 19, 20, 29, 40, 75, 81, 130, 131, 260, 700) for _ in range(2)]
 
     def edited(x, n):
         x = list(x)
