@@ -38,6 +38,7 @@ def main(args: list[str] | None = None) -> None:
             mode.add_argument("--limit", type=int)
         if name == "search":
             mode.add_argument("--database", nargs="+", required=True)
+            mode.add_argument("--every", action="store_true", help="compare all queries with all records, not those with common seeds alone")
     o = parser.parse_args(args)
     spark = SparkSession.builder.appName("seqlattice").getOrCreate()
     paths = o.input or [r.in_path for r in fasta.file_list(spark, o.file_list).collect()]
@@ -54,7 +55,7 @@ def main(args: list[str] | None = None) -> None:
     elif o.job == "library":
         jobs.library_files(spark, paths, o.output, scoring, o.distance, o.limit)
     else:
-        jobs.search_files(spark, paths, o.database, o.output, scoring)
+        jobs.search_files(spark, paths, o.database, o.output, scoring, o.every)
 
 
 if __name__ == "__main__":

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from seqlattice.functions.alphabet import encoded
 from seqlattice.functions.residues import gapped, position_map
+from seqlattice.operators.distance import _statistics
 from seqlattice.operators.kernels import blocks, partition, path
 from seqlattice.operators.scoring import AlignConfig, Scoring
 from seqlattice.workspace import lookup_hot
 
 _CELLS = 6 << 20
+#: Queries and records of one task of a search at most.
+_QUERIES, _RECORDS = 512, 2048
 
 
 def _sides(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -140,8 +143,7 @@ def write_library(lines: DataFrame, path: str) -> None:
 def seeded_pairs(queries: DataFrame, database: DataFrame, seed: int = 6, least: int = 2) -> DataFrame:
     """(query, subject): every query (id, seq) with every record that shares at least ``least`` different seeds of ``seed`` residues.
 
-    It stands for comparing every query with every record: an alignment whose matches have fewer such runs in common scores
-    like that of unrelated sequences.
+    Related sequences need not share any seed, so these are not all hits: ``every_pair`` has those.
     """
     def seeds(rows: DataFrame, name: str) -> DataFrame:
         n = F.length("seq") - seed + 1
@@ -154,6 +156,55 @@ def seeded_pairs(queries: DataFrame, database: DataFrame, seed: int = 6, least:
     return found.join(own, "seed").filter("query <> subject").groupBy("query", "subject").agg(F.count(F.lit(1)).alias("n_seeds")).filter(F.col("n_seeds") >= least)
 
 
+def every_pair(queries: DataFrame, database: DataFrame) -> DataFrame:
+    """(query, subject, name_q, name_s, seq_i, seq_j): every query (id, name, seq) with every other record (id, name, seq).
+
+    The product is made in tasks of a block of queries by a block of records; nothing is broadcast, and pairs are not stored.
+    """
+    one = queries.select(F.col("id").alias("query"), F.col("name").alias("name_q"), F.col("seq").alias("seq_i"))
+    two = database.select(F.col("id").alias("subject"), F.col("name").alias("name_s"), F.col("seq").alias("seq_j"))
+    n, m = one.count(), two.count()
+    one = one.repartition(max(1, -(-n // _QUERIES)))
+    two = two.repartition(max(1, -(-m // _RECORDS), 4 * queries.sparkSession.sparkContext.defaultParallelism))
+    return one.hint("shuffle_replicate_nl").join(two, F.col("query") != F.col("subject"))
+
+
+def compared(pairs: DataFrame, scoring: Scoring, nearest: bool = False) -> DataFrame:
+    """(query, subject, name_q, name_s, eer2, row_i, row_j): the pairs of ``every_pair`` on the paths of least cost.
+
+    With ``nearest``, of each batch only what may be the nearest of its query to six digits, without names and rows.
+    """
+    model = pairs.sparkSession.sparkContext.broadcast((scoring.scores, scoring.quantities, scoring.config.__dict__))  # of fixed size
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _scoring(model.value)
+        for batch in batches:
+            texts = [batch.column(c).cast(pa.binary()).to_pylist() for c in (4, 5)]
+            a, b = ([encoded(x) for x in side] for side in texts)
+            rows: tuple[list[bytes], list[bytes]] = ([b""] * len(a), [b""] * len(a))
+            eer2 = np.zeros(len(a))
+            for at in blocks(np.array([*map(len, a)]), np.array([*map(len, b)]), 4 * _CELLS):
+                _, scripts = path([a[k] for k in at], [b[k] for k in at], own)
+                for k, script in zip(at, scripts, strict=True):
+                    moves = np.frombuffer(script.encode(), np.uint8)
+                    for out, text, other in zip(rows, texts, (b"Y", b"X"), strict=True):
+                        row = np.full(len(moves), ord("-"), np.uint8)
+                        row[moves != other[0]] = np.frombuffer(text[k], np.uint8)
+                        out[k] = row.tobytes()
+                eer2[at] = _statistics([rows[0][k] for k in at], [rows[1][k] for k in at], False)["eer2"]
+            if nearest:
+                _, of_query = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                least = np.full(of_query.max(initial=-1) + 1, np.inf)
+                np.minimum.at(least, of_query, eer2)
+                kept = np.flatnonzero(eer2 <= least[of_query] + 1.1e-6)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept)) for c in (0, 1)), pa.array(eer2[kept])], names=["query", "subject", "eer2"])
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(eer2), *(pa.array([x.decode() for x in side], pa.string()) for side in rows)], names=["query", "subject", "name_q", "name_s", "eer2", "row_i", "row_j"])
+
+    kept = "query bigint, subject bigint, eer2 double" if nearest else "query bigint, subject bigint, name_q string, name_s string, eer2 double, row_i string, row_j string"
+    return pairs.select("query", "subject", "name_q", "name_s", "seq_i", "seq_j").mapInArrow(of, kept)
+
+
 def gapped_rows(alignments: DataFrame) -> DataFrame:
     """``alignments`` (seq_i, seq_j, script) with row_i and row_j, the two sequences spread by the script."""
     return alignments.withColumns({"row_i": gapped(F.col("seq_i"), F.col("script"), "X"), "row_j": gapped(F.col("seq_j"), F.col("script"), "Y")})

@@ -107,32 +107,31 @@ def primary_library(spark: SparkSession, folder: str) -> DataFrame:
     return align.library_lines(sequences, paths, weights)
 
 
-def _hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record whose seq_id is divisible by 20 as a query, against all records with seeds in common."""
-    sequences = stored(_sequences(spark, folder).filter("seq <> ''").select(F.col("seq_id").alias("id"), "name", "seq"), "records")
-    found = align.seeded_pairs(sequences.filter("id % 20 = 0"), sequences)
-    one = sequences.select(F.col("id").alias("query"), F.col("name").alias("name_q"), F.col("seq").alias("seq_i"))
-    two = sequences.select(F.col("id").alias("subject"), F.col("name").alias("name_s"), F.col("seq").alias("seq_j"))
-    pairs = stored(found.join(one, "query").join(two, "subject"), "candidates")
-    keyed = pairs.withColumns({"aln_id": F.concat_ws(" ", "query", "subject"), "i": F.lit(0), "j": F.lit(1)})
-    rows = align.gapped_rows(align.path_alignments(keyed, estimated_scoring(spark, folder, False)).join(keyed, ["aln_id", "i", "j"]))
-    rows = stored(rows, "aligned")
-    scored = distance.pair_statistics(rows).select("aln_id", "eer2")
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(_sequences(spark, folder).filter("seq <> ''").select(F.col("seq_id").alias("id"), "name", "seq"), "records")
+
+
+def search_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record whose seq_id is divisible by 20 as a query, aligned with all other records, with transition quantities."""
+    records = _records(spark, folder)
+    hits = align.compared(align.every_pair(records.filter("id % 20 = 0"), records), estimated_scoring(spark, folder))
     family_of = lambda c: F.substring(c, 9, 7)
-    return rows.join(scored, "aln_id").select(
+    return hits.select(
         "query", "subject", F.coalesce(F.col("name_q") == F.col("name_s"), F.lit(False)).alias("same_name"),
         F.coalesce((F.length("name_q") > 16) & (F.length("name_s") > 16) & (family_of("name_q") == family_of("name_s")), F.lit(False)).alias("same_family"),
         F.round("eer2", 6).alias("eer2"), "row_i", "row_j",
     )
 
 
-def search_hits(spark: SparkSession, folder: str) -> DataFrame:
-    return _hits(spark, folder)
+def _nearest(queries: DataFrame, database: DataFrame, scoring: Scoring) -> DataFrame:
+    found = align.compared(align.every_pair(queries, database), scoring, nearest=True).withColumn("eer2", F.round("eer2", 6))
+    return family.top_hit(found, "query", "eer2", "subject").select("query", "subject", "eer2")
 
 
 def nearest_subject(spark: SparkSession, folder: str) -> DataFrame:
     """The hit of least distance of each query; of equal ones the smallest record."""
-    return family.top_hit(_hits(spark, folder), "query", "eer2", "subject").select("query", "subject", "eer2")
+    records = _records(spark, folder)
+    return _nearest(records.filter("id % 20 = 0"), records, estimated_scoring(spark, folder))
 
 
 def family_estimate(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,14 +83,21 @@ def library_files(spark: SparkSession, paths: list[str], out: str, scoring: Scor
     align.write_library(align.library_lines(rows.select("aln_id", "seq_idx", "name", "seq"), found, weights), out)
 
 
-def search_files(spark: SparkSession, queries: list[str], database: list[str], out: str, scoring: Scoring) -> None:
-    """Hits of query sequences in database sequences with seeds in common, as CSV: names, distance, aligned rows."""
+def search_files(spark: SparkSession, queries: list[str], database: list[str], out: str, scoring: Scoring, every: bool = False) -> None:
+    """Hits of query sequences in database sequences as CSV: names, distance, aligned rows.
+
+    With ``every``, all queries are compared with all records, else those with seeds in common, which misses many related ones.
+    """
 
     def keyed(paths: list[str]) -> DataFrame:
         rows = sequences_of(spark, paths).filter("seq <> ''")
         return stored(rows.select(F.xxhash64("aln_id", "seq_idx").alias("id"), "name", "seq"), "records")
 
     one, two = keyed(queries), keyed(database)
+    if every:
+        hits = align.compared(align.every_pair(one, two), scoring)
+        hits.select(F.col("name_q").alias("query_name"), F.col("name_s").alias("subject_name"), "eer2", "row_i", "row_j").write.mode("overwrite").csv(out, header=True)
+        return
     found = align.seeded_pairs(one, two)
     pairs = found.join(one.select(F.col("id").alias("query"), F.col("name").alias("query_name"), F.col("seq").alias("seq_i")), "query")
     pairs = pairs.join(two.select(F.col("id").alias("subject"), F.col("name").alias("subject_name"), F.col("seq").alias("seq_j")), "subject")
