@@ -135,9 +135,14 @@ def nearest_subject(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def family_estimate(spark: SparkSession, folder: str) -> DataFrame:
-    """The Group of each alignment, by family tokens in names and, where a query has none, by its nearest record."""
-    members = alignment_rows(spark, folder).select("seq_id", "aln_id", "a_name", R.sccs(F.col("a_name")).alias("sccs"))
-    return family.estimated(members, relational.family_vote(spark, folder), nearest_subject(spark, folder), relational.family_blacklist(spark, folder))
+    """The Group of each alignment, by family tokens in names and, of members without a Group by theirs, by the nearest record that has one."""
+    rows = alignment_rows(spark, folder).select("seq_id", "aln_id", "a_name", R.sccs(F.col("a_name")).alias("sccs"), R.residues(F.col("row")).alias("seq"))
+    groups, black = stored(relational.family_vote(spark, folder), "groups"), stored(relational.family_blacklist(spark, folder), "black")
+    members = stored(rows.join(groups.select("sccs", "group_no"), "sccs", "left"), "members")
+    records = members.filter("seq <> ''").select(F.col("seq_id").alias("id"), F.col("a_name").alias("name"), "seq", "group_no")
+    queries = records.filter("group_no is null").join(black.select(F.col("a_name").alias("name")), "name", "left_anti")
+    near = _nearest(queries, records.filter("group_no is not null"), estimated_scoring(spark, folder))
+    return family.estimated(members.select("seq_id", "aln_id", "a_name", "sccs"), groups, near, black)
 
 
 def multiple_alignment(spark: SparkSession, folder: str) -> DataFrame:

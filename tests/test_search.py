@@ -34,3 +34,14 @@ def test_search_command_compares_all_if_told(spark, tmp_path):
     main(["search", "--input", f"{tmp_path}/q.fa", "--database", f"{tmp_path}/db.fa", "--output", str(tmp_path / "hits"), "--every"])
     assert glob.glob(f"{tmp_path}/hits/*.csv")
     assert {(r.query_name, r.subject_name) for r in spark.read.csv(str(tmp_path / "hits"), header=True).collect()} == {(q, s) for q in ("q", "far") for s in ("s", "t")}
+
+
+def test_every_member_without_a_group_votes_by_its_nearest(spark):
+    rows = alignment.alignment_rows(spark, FOLDER).select("seq_id", "aln_id", alignment.R.sccs(F.col("a_name")).alias("sccs"))
+    groups = alignment.relational.family_vote(spark, FOLDER).select("sccs", "group_no")
+    members = rows.join(groups, "sccs", "left").toPandas()
+    assert members.group_no.isna().any() and members.group_no.notna().any()
+    got = alignment.family_estimate(spark, FOLDER).toPandas()
+    assert alignment.relational.family_blacklist(spark, FOLDER).isEmpty()
+    assert set(got.aln_id) == set(members.aln_id)
+    assert got.n.sum() >= len(members) / 2
