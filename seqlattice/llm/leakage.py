@@ -2,8 +2,9 @@
 
 Every document is cut into passages of half the wanted run, so a run of the wanted length holds a whole one. A passage is
 a TF-IDF vector over the words of the evaluation items: other words have no part in any product with an item. A
-distributed randomised SVD of all passages gives the latent space. Item passages, taken at every word, are looked up by
-cosine through hash tables of latent directions; projections are whole numbers, so equal passages always meet. Then
+distributed randomised SVD of all passages gives the latent space. Item passages, taken at every word, lie in groups around
+leading ones; a passage is compared with all of each group that its angles to the leader can't rule out, so every item
+passage within the least cosine is met. Then
 the common run, the longest common subsequence and the item's answer are checked against the document itself.
 """
 
@@ -27,7 +28,8 @@ _WORD = re.compile(rb"[a-z0-9]+")
 class Search:
     """min_run: words in a row that make a leak. rank, extra: size of the latent space and of its sketch beyond it.
 
-    tables, bits: hash tables and directions in each. min_cosine: of a passage and an item passage. near_share: least
+    tables, bits: of an earlier search by hash tables, without effect. min_cosine: of a passage and an item passage in the latent
+    space; passages with fewer known words than three quarters of its square asks for aren't looked up. near_share: least
     share of an item's words in a common subsequence that is reported without a run. item_block: items searched for at
     once, so that what is broadcast is bounded; max_words: most different words of a block.
     """
@@ -163,14 +165,55 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+class _Groups:
+    """Unit vectors in groups around leaders, searched without loss by the triangle inequality of angles."""
+
+    def __init__(self, unit: np.ndarray, least: float, wide: float = 0.8) -> None:
+        """wide: least cosine of a vector and its leader."""
+        self.least = least
+        leader = np.full(len(unit), -1)
+        closest = np.full(len(unit), -2.0, np.float32)
+        leaders: list[int] = []
+        left = np.arange(len(unit))
+        while len(left):
+            cosine = unit @ unit[left[0]]
+            cosine[left[0]] = 1  # also of a vector of zeros
+            better = cosine > closest
+            leader[better], closest[better] = len(leaders), cosine[better]
+            leaders.append(left[0])
+            left = left[closest[left] < wide]
+        order = np.argsort(leader, kind="stable")
+        ends = np.cumsum(np.bincount(leader, minlength=len(leaders)))
+        self.members = [x for x in np.split(order, ends[:-1])]
+        self.vectors = [unit[x] for x in self.members]
+        self.centres = np.ascontiguousarray(unit[leaders])
+        angle = np.arccos(np.clip(closest, -1, 1))
+        far = np.array([angle[x].max() if len(x) else 0.0 for x in self.members]) + np.arccos(least) + 2e-3  # more than the error of a cosine in single precision
+        self.bound = np.where(far < np.pi, np.cos(np.minimum(far, np.pi)), -2).astype(np.float32)
+
+    def near(self, own: np.ndarray, at_once: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in own, vector) of all pairs with a cosine of at least ``least``, a block of ``own`` at a time."""
+        for k in range(0, len(own), at_once):
+            part = own[k : k + at_once]
+            group, row = np.nonzero((part @ self.centres.T >= self.bound).T)
+            cut = np.searchsorted(group, np.arange(len(self.members) + 1))
+            one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for g in np.unique(group):
+                some = row[cut[g] : cut[g + 1]]
+                x, y = np.nonzero(part[some] @ self.vectors[g].T >= self.least)
+                one.append(some[x] + k)
+                two.append(self.members[g][y])
+            yield np.concatenate(one), np.concatenate(two)
+
+
 def leaks(documents: DataFrame, items: DataFrame, search: Search = Search()) -> DataFrame:
     """(doc_id, item_id, run, item_share, answer_share): documents that hold passages of items.
 
     ``documents`` and ``items`` have bigint id and string text. run is the longest common run of words on any passage that
     was met; item_share and answer_share are the shares of the item's words, and of those after its first empty line, in
     the longest common subsequence with the part of the document around it. Kept are rows with a run of at least
-    ``min_run`` or an item_share of at least ``near_share``. Every run of ``min_run`` words is found; near passages are
-    found as far as their cosine lets the hash tables meet. Null, empty and wordless texts give nothing; repeated rows of
+    ``min_run`` or an item_share of at least ``near_share``. Every run of ``min_run`` words is found, and so is
+    every passage with enough known words within ``min_cosine`` of an item passage. Null, empty and wordless texts give nothing; repeated rows of
     an id give one row per item with the greatest values.
     """
     documents = documents.filter("id is not null and text is not null")
@@ -205,22 +248,11 @@ def _leaks(documents: DataFrame, block: list, search: Search) -> DataFrame | Non
         return None
     tokens = stored(_ids(documents, vocabulary), "tokens")
     weights = latent_space(tokens, len(vocabulary), search)
-    rng = np.random.default_rng(search.seed + 1)
-    planes = rng.integers(-1, 2, (weights.shape[1], search.tables * search.bits)).astype(np.float64)
-    powers = 1 << np.arange(search.bits, dtype=np.int64)
-
-    def codes(z: np.ndarray) -> np.ndarray:
-        return ((z @ planes) > 0).reshape(len(z), search.tables, search.bits) @ powers
-
     rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(item_words[k], size) for k in whole])
     item_of = np.concatenate([np.full(len(item_words[k]) - size + 1, k) for k in whole])
     place_of = np.concatenate([np.arange(len(item_words[k]) - size + 1) for k in whole])
     z = _project(rows, weights)
-    tables = []
-    for code in codes(z).T:
-        order = np.argsort(code, kind="stable")
-        tables.append((code[order], order))
-    unit = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    groups = _Groups((z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32), search.min_cosine - 1e-4)
     item_ids = np.array([row["id"] for row in block], np.int64)
     least_known = int(np.ceil(size * search.min_cosine**2 * 0.75))
 
@@ -234,15 +266,7 @@ def _leaks(documents: DataFrame, block: list, search: Search) -> DataFrame | Non
             if len(rows):
                 z = _project(rows, weights)
                 own = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-                met = []
-                for (sorted_codes, order), code in zip(tables, codes(z).T, strict=True):
-                    low, high = np.searchsorted(sorted_codes, code, "left"), np.searchsorted(sorted_codes, code, "right")
-                    n = high - low
-                    passage = np.repeat(np.arange(len(rows)), n)
-                    hit = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[passage]]
-                    near = np.einsum("ij,ij->i", own[passage], unit[hit]) >= search.min_cosine - 1e-4
-                    passage, hit = passage[near], hit[near]
-                    met.append(np.stack([doc[passage], item_of[hit], at[passage] - place_of[hit]], axis=1))
+                met = [np.unique(np.stack([doc[p], item_of[hit], at[p] - place_of[hit]], axis=1), axis=0) for p, hit in groups.near(own)]
                 best: dict[tuple[int, int], tuple[int, int]] = {}
                 for d, i, shift in np.unique(np.concatenate(met), axis=0).tolist():
                     text, item = np.frombuffer(ids[d], np.int32), item_words[i]
