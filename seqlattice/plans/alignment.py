@@ -45,7 +45,7 @@ def _summed(profile: DataFrame) -> DataFrame:
 
 
 def path_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return align.path_profile(align.path_alignments(_sequence_pairs(spark, folder), estimated_scoring(spark, folder, False)))
+    return align.path_profile(align.path_alignments(_sequence_pairs(spark, folder), estimated_scoring(spark, folder)))
 
 
 def posterior_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +55,7 @@ def posterior_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 def blended_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Blended profiles of all pairs, cut off at 0.01, summed by pair."""
-    pairs, scoring = _sequence_pairs(spark, folder), estimated_scoring(spark, folder, False)
+    pairs, scoring = _sequence_pairs(spark, folder), estimated_scoring(spark, folder)
     return _summed(align.blended(align.path_profile(align.path_alignments(pairs, scoring)), align.posterior_profile(pairs, scoring)))
 
 
@@ -101,7 +101,7 @@ def primary_library(spark: SparkSession, folder: str) -> DataFrame:
     """Pair libraries of all alignments: path alignments, weighted by the share of equal columns."""
     sequences = _sequences(spark, folder).filter("seq <> ''")
     pairs = all_pairs(sequences, "seq")
-    paths = stored(align.path_alignments(pairs, estimated_scoring(spark, folder, False)), "paths")
+    paths = stored(align.path_alignments(pairs, estimated_scoring(spark, folder)), "paths")
     rows = align.gapped_rows(paths.join(pairs, ["aln_id", "i", "j"]))
     weights = distance.pair_statistics(rows).select("aln_id", "i", "j", F.col("gid").alias("distance"))
     return align.library_lines(sequences, paths, weights)
@@ -147,15 +147,14 @@ def family_estimate(spark: SparkSession, folder: str) -> DataFrame:
 
 def multiple_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every collection of sequences aligned anew, from their residues alone."""
-    return msa.multiple_alignment(_sequences(spark, folder), _sequence_pairs(spark, folder), estimated_scoring(spark, folder, False))
+    return msa.multiple_alignment(_sequences(spark, folder), _sequence_pairs(spark, folder), estimated_scoring(spark, folder))
 
 
 def multiple_alignment_cds(spark: SparkSession, folder: str) -> DataFrame:
-    """Coding sequences, translated, aligned as proteins (by paths alone) and mapped back to DNA."""
+    """Coding sequences, translated, aligned as proteins as ``multiple_alignment`` does, and mapped back to DNA."""
     coding = _sequences(spark, folder).withColumn("dna", curate.coding_sequence(F.col("seq")))
     protein = stored(coding.select("aln_id", "seq_idx", "dna", R.translated(F.col("dna")).alias("seq")), "proteins")
-    scoring = estimated_scoring(spark, folder, False, AlignConfig(posterior=0.0, consistency=0))
-    rows = msa.multiple_alignment(protein, all_pairs(protein, "seq"), scoring)
+    rows = msa.multiple_alignment(protein, all_pairs(protein, "seq"), estimated_scoring(spark, folder))
     return rows.join(protein, ["aln_id", "seq_idx"]).select("aln_id", "seq_idx", R.back_mapped(F.col("row"), F.col("dna")).alias("dna_row"))
 
 
