@@ -74,6 +74,60 @@ def posterior_profile(pairs: DataFrame, scoring: Scoring, least: float = 0.001)
     return _spread(pairs).mapInArrow(of, "aln_id string, i int, j int, r int, c int, p double")
 
 
+def pair_profiles(pairs: DataFrame, scoring: Scoring, least: float = 0.01) -> DataFrame:
+    """(aln_id, i, j, distance, r, c, p): each pair's path distance and, as arrays side by side, the cells of its profile.
+
+    The profile is 1 - share of the path's matches and share of the posterior, the share being ``posterior`` of the
+    configuration, less cells below ``least``; residues count from 1. It is the same as ``blended`` of both profiles, made
+    where the pair is read, so that no cell is shuffled. With a share of 0 the posterior isn't computed.
+    """
+    model = pairs.sparkSession.sparkContext.broadcast((scoring.scores, scoring.quantities, scoring.config.__dict__))  # of fixed size
+    share = scoring.config.posterior
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _scoring(model.value)
+        for batch in batches:
+            a, b = _sides(batch)
+            cost = np.zeros(len(a))
+            found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+            for at in blocks(np.array([*map(len, a)]), np.array([*map(len, b)]), 4 * _CELLS, 192):
+                first, second = [a[k] for k in at], [b[k] for k in at]
+                cost[at], scripts = path(first, second, own)
+                pair, r, c = matched(scripts)
+                found.append((at[pair], r, c, np.full(len(r), 1 - share if share > 0 else 1.0)))
+                if share > 0:
+                    for part in np.array_split(np.arange(len(at)), max(1, -(-int(sum(len(x) * len(y) for x, y in zip(first, second, strict=True))) // _CELLS))):
+                        if len(part):
+                            _, pair, r, c, p = partition([first[k] for k in part], [second[k] for k in part], own, 0.001)
+                            found.append((at[part][pair], r, c, p * share))
+            pair, r, c, p = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((c, r, pair))
+            pair, r, c, p = pair[order], r[order], c[order], p[order]
+            if len(pair):
+                begin = np.flatnonzero(np.concatenate(([True], (np.diff(pair) != 0) | (np.diff(r) != 0) | (np.diff(c) != 0))))
+                pair, r, c, p = pair[begin], r[begin], c[begin], np.add.reduceat(p, begin)
+                kept = p >= least
+                pair, r, c, p = pair[kept], r[kept], c[kept], p[kept]
+            offsets = pa.array(np.searchsorted(pair, np.arange(len(a) + 1)), pa.int32())
+            cells = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (r.astype(np.int32), c.astype(np.int32), p)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cost), *cells], names=["aln_id", "i", "j", "distance", "r", "c", "p"])
+
+    return _spread(pairs).mapInArrow(of, "aln_id string, i int, j int, distance double, r array<int>, c array<int>, p array<double>")
+
+
+def matched(scripts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matches of edit scripts: number of the script, and numbers, from 1, of the residues of both rows."""
+    moves = np.frombuffer("".join(scripts).encode(), np.uint8)
+    sizes = np.array([len(x) for x in scripts], np.int64)
+    script = np.repeat(np.arange(len(scripts)), sizes)
+    start = np.cumsum(sizes) - sizes
+    both, out = moves == ord("B"), []
+    for other in b"YX":
+        count = np.concatenate(([0], np.cumsum(moves != other)))
+        out.append((count[1:] - count[start][script])[both])
+    return script[both], out[0], out[1]
+
+
 def script_matches(script: Column) -> Column:
     """The matches of an edit script as an array of (r, c): numbers, from 1, of residues of both rows."""
     runs = F.regexp_extract_all(script, F.lit("B+|X+|Y+"), F.lit(0))

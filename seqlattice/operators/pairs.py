@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +34,37 @@ def all_pairs(rows: DataFrame, *columns: str, limit: int | None = None) -> DataF
     one = rows.select("aln_id", F.col("seq_idx").alias("i"), *(F.col(c).alias(f"{c}_i") for c in columns))
     two = rows.select("aln_id", F.col("seq_idx").alias("j"), *(F.col(c).alias(f"{c}_j") for c in columns))
     return one.join(two, "aln_id").filter("i < j")
+
+
+def by_alignment(rows: DataFrame, order: list[str], of: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+    """What ``of`` makes of the rows of each alignment, which come to it in ``order``; many alignments are the work of one task.
+
+    ``rows`` start with aln_id. For alignments of a bounded size only: one alignment lies in memory.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            names = batch.column(0)
+            if not len(batch):
+                continue
+            new = np.flatnonzero(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)) + 1
+            if held and held[-1].column(0)[len(held[-1]) - 1] != names[0]:
+                yield from done(held)
+                held = []
+            edges = [0, *new.tolist(), len(batch)]
+            for k, (start, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if k:
+                    yield from done(held)
+                    held = []
+                held.append(batch.slice(start, end - start))
+        yield from done(held)
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = of(pa.Table.from_batches(held).combine_chunks()) if held else None
+        if out is not None:
+            yield from out.to_batches()
+
+    return rows.filter("aln_id is not null").repartition(n, "aln_id").sortWithinPartitions("aln_id", *order).mapInArrow(stream, schema)

@@ -117,13 +117,13 @@ class Scoring:
 
     @cached_property
     def path_table(self) -> np.ndarray:
-        """Whole-number costs of all steps, 25 by 25 by 24 by 24, if there are quantities."""
+        """Whole-number costs of all steps, 25 by 25 by 24 by 24."""
         pair, opened, longer, extra = self.path()
         return (_table(pair, opened, longer, extra, np.add, 0.0) * self.config.scale).astype(np.int64)
 
     @cached_property
     def partition_table(self) -> np.ndarray:
-        """Boltzmann weights of all steps, 25 by 25 by 24 by 24, if there are quantities."""
+        """Boltzmann weights of all steps, 25 by 25 by 24 by 24."""
         return _table(*self.partition(), np.multiply, 1.0)
 
 
@@ -133,7 +133,8 @@ def _table(pair: np.ndarray, opened: float, longer: float, extra: np.ndarray, jo
     base[:, :, :GAP, GAP] = np.where(np.arange(25) == GAP, longer, opened)[None, :, None]
     base[:, :, GAP, :GAP] = np.where(np.arange(25) == GAP, longer, opened)[:, None, None]
     more = np.full((25, 25, 24, 24), none)
-    more[:24, :24] = extra
+    if extra is not None:
+        more[:24, :24] = extra
     return join(base, more)
 
 
