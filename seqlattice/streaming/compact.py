@@ -91,17 +91,22 @@ def settle(landed: DataFrame) -> DataFrame:
 def compact(spark: SparkSession, source: str, work: str, target_bytes: int = 128 << 20) -> DataFrame:
     """(file_id, file_key, carried) for every delivery; the sequences of the carried ones lie in ``work``/compacted.
 
-    Carried are last versions with at least one record. The output is about total size / ``target_bytes`` files, written
-    as a whole under one name, so a repeated run replaces it.
+    Carried are last versions with at least one record. They come out as (bytes of their contents / ``target_bytes``) files of
+    like size: records are spread over that many tasks just before they are written, so that a large file of many records
+    is divided too, while the join and the parser run in as many tasks as their own shuffle has, and in no fewer than there
+    will be files where these are more. The output is written as a whole under one name, so a repeated run replaces it.
     """
     landed = land(spark, source, work)
-    settled = settle(landed.select("file_id", "written_at", "file_key", "has_record", F.length("content").alias("size")))
+    settled = settle(landed.select("file_id", "written_at", "file_key", "has_record", F.octet_length("content").cast("bigint").alias("size")))
     carry = F.col("is_last") & F.col("has_record")
     rows = stored(settled.select("file_id", "file_key", "size", carry.alias("carried")).dropDuplicates(["file_id"]), "settled")
     carried = rows.filter("carried")
     n = max(1, math.ceil((carried.agg(F.sum("size")).first()[0] or 0) / target_bytes))
-    files = landed.select("file_id", "content").join(carried.select("file_id", "file_key"), "file_id").dropDuplicates(["file_id"])
-    sequences_of(files, "file_key").coalesce(n).write.mode("overwrite").parquet(f"{work}/compacted")
+    contents = landed.filter("has_record").select("file_id", "content")
+    if n > int(spark.conf.get("spark.sql.shuffle.partitions")):  # so that what one task joins and parses doesn't grow with the whole
+        contents = contents.repartition(n, "file_id")
+    files = contents.join(carried.select("file_id", "file_key"), "file_id").dropDuplicates(["file_id"])
+    sequences_of(files, "file_key").repartition(n, "file_key", "record_no").write.mode("overwrite").parquet(f"{work}/compacted")
     return rows.select("file_id", "file_key", "carried")
 
 

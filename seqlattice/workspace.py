@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str = "work") -> str:
-    """A new folder below the shared one that ``spark.checkpoint.dir`` names.
+    """A new folder below the shared one that ``spark.checkpoint.dir`` names, kept until the driver ends or ``clear`` is called.
 
     Where the session names none, only a local master is accepted and a temporary folder becomes the
     checkpoint directory: on a cluster a machine-local folder would not be seen by the other executors.
@@ -22,14 +22,30 @@ def shared_dir(spark: SparkSession, name: str = "work") -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-seqlattice-"))
         base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/seqlattice-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/seqlattice-{name}-{uuid.uuid4().hex[:12]}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables made so far; data frames that were built on them can't be read any more."""
+    while _made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)  # texts take about half the disk
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)  # texts take about half the disk
     return spark.read.schema(df.schema).parquet(path)
 
 

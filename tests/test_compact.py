@@ -60,3 +60,28 @@ def test_number_of_output_files(spark, tmp_path):
     files = list((tmp_path / "work" / "compacted").glob("part-*.parquet"))
     assert 1 <= len(files) <= 3
     assert spark.read.parquet(str(tmp_path / "work" / "compacted")).count() == 200
+
+
+def test_output_files_are_of_like_size_and_as_many_as_wanted(spark, tmp_path):
+    source, work = str(tmp_path / "t.parquet"), str(tmp_path / "work")
+    rows = [(k, f"f{k}", None, "".join(f">a{j}\n{'A' * 60}\n" for j in range(1 + k % 5)), None, _day(1)) for k in range(600)]
+    rows.append((600, "large", None, "".join(f">b{j}\n{'C' * 60}\n" for j in range(900)), None, _day(1)))  # a third of all
+    _write(spark, rows, source)
+    total = sum(len(r[3]) for r in rows)
+    target = total // 33 + 1
+    compact(spark, source, work, target_bytes=target)
+    held = spark.read.parquet(f"{work}/compacted").groupBy(F.input_file_name().alias("f")).agg(F.sum(F.length("seq") + F.length("name") + 3).alias("n"), F.count(F.lit(1)).alias("records")).collect()
+    assert 20 <= len(held) <= 50 and max(r.n for r in held) < 2 * target
+    assert sum(r.records for r in held) == 1800 + 900 and sum(r.n for r in held) == total
+
+
+def test_intermediates_can_be_cleared(spark):
+    from pathlib import Path
+
+    from seqlattice import workspace
+
+    df = workspace.stored(spark.range(3))
+    path = Path(workspace._made[-1].removeprefix("file:"))
+    assert df.count() == 3 and path.exists()
+    workspace.clear(spark)
+    assert not path.exists() and not workspace._made

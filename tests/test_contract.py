@@ -44,3 +44,13 @@ def test_same_as_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_the_core_stays_if_the_subpackage_cannot_be_imported(monkeypatch):
+    import sys
+
+    for name in [x for x in sys.modules if x.startswith("seqlattice.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "tiktoken", None)  # as if it weren't installed
+    monkeypatch.setitem(sys.modules, "seqlattice.llm.queries", None)
+    assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.SQL)
