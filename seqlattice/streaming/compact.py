@@ -68,7 +68,7 @@ def land(spark: SparkSession, source: str, work: str, bytes_per_batch: int = 32
             "file_id", "written_at", "content",
             canonical_path(F.coalesce("out_ref_fasta", "out_in_fasta")).alias("file_key"), has_record(F.col("content")).alias("has_record"),
         )
-        rows.write.mode("overwrite").parquet(f"{work}/landed/batch={number}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{work}/landed/batch={number}")
 
     spark.createDataFrame([], LANDED).write.mode("overwrite").parquet(f"{work}/landed/batch=-1")  # so that there is one
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -106,7 +106,7 @@ def compact(spark: SparkSession, source: str, work: str, target_bytes: int = 128
     if n > int(spark.conf.get("spark.sql.shuffle.partitions")):  # so that what one task joins and parses doesn't grow with the whole
         contents = contents.repartition(n, "file_id")
     files = contents.join(carried.select("file_id", "file_key"), "file_id").dropDuplicates(["file_id"])
-    sequences_of(files, "file_key").repartition(n, "file_key", "record_no").write.mode("overwrite").parquet(f"{work}/compacted")
+    sequences_of(files, "file_key").repartition(n, "file_key", "record_no").write.mode("overwrite").option("compression", "zstd").parquet(f"{work}/compacted")
     return rows.select("file_id", "file_key", "carried")
 
 
