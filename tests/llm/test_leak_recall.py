@@ -42,3 +42,25 @@ def test_all_near_passages_are_found(spark):
                 want.add((d, i))
     got = {(r.doc_id, r.item_id) for r in leaks(text(docs), text(items), search).collect()}
     assert len(want) > 30 and got >= want
+
+
+def test_planted_paraphrases_and_partial_quotes_are_found_by_default(spark):
+    rng = np.random.default_rng(12)
+    names = [f"v{k}" for k in range(900)]
+    weights = 1 / np.arange(1, 901) ** 0.7
+    text = lambda n: list(rng.choice(names, n, p=weights / weights.sum()))
+    items = [(k, text(int(rng.integers(60, 120)))) for k in range(60)]
+    docs, want = [], set()
+    for k, item in items:
+        for every in (5, 8, 12, 19):
+            own = [("zz" if x % every == every - 1 else w) for x, w in enumerate(item)]
+            if every == 12:
+                own = own[: int(len(own) * 0.7)]  # a part of it alone
+            docs.append((1000 * every + k, text(50) + own + text(50)))
+            want.add((1000 * every + k, k))
+    table = lambda rows: spark.createDataFrame([(k, " ".join(own)) for k, own in rows], "id bigint, text string")
+    for search in (Search(), Search(item_block=20), Search(max_words=700)):
+        got = {(r.doc_id, r.item_id) for r in leaks(table(docs), table(items), search).collect()}
+        for every in (5, 8, 12, 19):
+            own = {x for x in want if x[0] // 1000 == every}
+            assert len(own & got) >= 0.9 * len(own), (every, len(own & got), len(own))
