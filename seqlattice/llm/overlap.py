@@ -27,6 +27,10 @@ PER_EDIT = 10
 #: Groups of letters whose counts travel with a piece, in bits each; ticks of the place; ticks of the length.
 GROUPS, COUNT_BITS, PLACES = 12, 4, 64
 LENGTH_TICKS = 4
+#: By how much the places of a piece and its window may differ.
+REACH = PLACES // 5 + 1
+_NONE = np.zeros(0, np.int64)
+_KEYS = "t bigint, tag bigint, part int, key bigint"
 TICK = float(np.log(PER_EDIT / (PER_EDIT - 1))) / LENGTH_TICKS
 
 
@@ -54,11 +58,31 @@ def _tags(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return ticks << (COUNT_BITS * GROUPS) | packed
 
 
-def _rows(batch: pa.RecordBatch, key: np.ndarray, text: np.ndarray, pos: np.ndarray, length: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
-    t = batch.column(0).to_numpy(zero_copy_only=False)[text]
-    tag = (pos * PLACES // length[text]) << (COUNT_BITS * GROUPS + 10) | tags[text]
+def _rows(batch: pa.RecordBatch, key: np.ndarray, role: int, text: np.ndarray, pos: np.ndarray, length: np.ndarray, tags: np.ndarray, crowded: np.ndarray, every: bool) -> pa.RecordBatch:
+    """Rows of keys; those of a crowded key are parted by length and place, so that only what may be near meets.
+
+    A partner's length differs by at most LENGTH_TICKS ticks and its place by REACH; with ``every`` a row goes to each part in
+    which a partner may be (four at most), without it to its own.
+    """
+    place = pos * PLACES // length[text]
+    tick = tags[text] >> (COUNT_BITS * GROUPS)
+    part = np.zeros(len(key), np.int64)
+    hot = np.flatnonzero(np.isin(key, crowded))
+    at = np.arange(len(key))
+    if len(hot):
+        parts = lambda k, dt, dp: 1 + ((tick[k] + dt) // (2 * LENGTH_TICKS + 1) + 1) * (PLACES + 2) + (place[k] + dp) // (2 * REACH + 1) + 1
+        if not every:
+            part[hot] = parts(hot, 0, 0)
+        else:
+            owner = np.tile(hot, 4)
+            near = np.concatenate([parts(hot, dt, dp) for dt in (-LENGTH_TICKS, LENGTH_TICKS) for dp in (-REACH, REACH)])
+            _, first = np.unique(np.stack([owner, near]), axis=1, return_index=True)
+            rest = np.setdiff1d(at, hot)
+            at, part = np.concatenate([rest, owner[first]]), np.concatenate([part[rest], near[first]])
+    t = batch.column(0).to_numpy(zero_copy_only=False)[text[at]]
+    tag = place[at] << (COUNT_BITS * GROUPS + 10) | tags[text[at]]
     # in this order what changes from row to row lies together, which shuffles in two thirds of the bytes
-    return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(tag), pa.array(key)], names=["t", "tag", "key"])
+    return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(tag), pa.array(part.astype(np.int32)), pa.array(key[at] << 1 | role)], names=["t", "tag", "part", "key"])
 
 
 def _even_cut(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,8 +141,8 @@ def _having(codes: np.ndarray, starts: np.ndarray, frequent: np.ndarray) -> np.n
     return out
 
 
-def pieces(texts: DataFrame, frequent: np.ndarray, finer: bool, role: int) -> DataFrame:
-    """(t, tag, key): the disjoint pieces of each text with bigint t and string seq; texts that allow no edit give none.
+def pieces(texts: DataFrame, frequent: np.ndarray, finer: bool, role: int, crowded: np.ndarray = _NONE) -> DataFrame:
+    """(t, tag, part, key): the disjoint pieces of each text with bigint t and string seq; texts that allow no edit give none.
 
     With ``finer``, texts with frequent pieces are cut finer; else they are left out. Keys of different roles don't meet.
     """
@@ -127,9 +151,9 @@ def pieces(texts: DataFrame, frequent: np.ndarray, finer: bool, role: int) -> Da
         for batch in batches:
             codes, starts = joined(batch.column(1))
             key, text, pos, _ = (_cut if finer else _plain)(codes, starts, frequent)
-            yield _rows(batch, key << 1 | role, text, pos, np.diff(starts), _tags(codes, starts))
+            yield _rows(batch, key, role, text, pos, np.diff(starts), _tags(codes, starts), crowded, False)
 
-    return texts.select("t", "seq").mapInArrow(of, "t bigint, tag bigint, key bigint")
+    return texts.select("t", "seq").mapInArrow(of, _KEYS)
 
 
 def _plain(codes: np.ndarray, starts: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -141,17 +165,26 @@ def _plain(codes: np.ndarray, starts: np.ndarray, frequent: np.ndarray) -> tuple
     return tuple(x[kept] for x in cut)
 
 
-def frequent_pieces(texts: DataFrame, one_in: int = 64, share: float = 0.002, least: int = 20_000) -> np.ndarray:
-    """Keys of pieces that more than ``share`` of the texts, and ``least`` of them, have, judged by one text in ``one_in``.
+def frequent_pieces(texts: DataFrame, one_in: int = 64, share: float = 1e-5, least: int = 20_000) -> np.ndarray:
+    """Keys of pieces that more than ``least`` texts have, and more than ``share`` of them, judged by one text in ``one_in``.
 
-    As each text has few pieces, the keys are few, whatever the size. Which keys are named changes the work, not the result.
+    ``least`` bounds what meets at one key, whatever the size; ``share`` bounds the keys named: as each text has few pieces, they
+    are less than two million. Which keys are named changes the work, not the result.
     """
     sample = texts.filter(F.pmod(F.xxhash64("t"), F.lit(one_in)) == 0)
     n = sample.count()
-    counts = pieces(sample, np.zeros(0, np.int64), True, 0).groupBy("key").agg(F.count_distinct("t").alias("n"))
+    counts = pieces(sample, _NONE, True, 0).groupBy("key").agg(F.count_distinct("t").alias("n"))
     return np.array(sorted(r.key >> 1 for r in counts.filter(F.col("n") > max(least / one_in, share * n)).collect()), np.int64)
 
 
+def crowded_pieces(texts: DataFrame) -> np.ndarray:
+    """Keys of pieces that many texts have, though not so many as to be frequent; they meet in parts."""
+    return _frequent(texts, least=1000)
+
+
+_frequent = frequent_pieces
+
+
 def even_sizes() -> list[tuple[int, int]]:
     """(tick of the length, size) of the even pieces of texts of any length."""
     length = np.arange(PER_EDIT - 1, 2000)  # from there on all have one size
@@ -174,8 +207,8 @@ def finer_sizes(texts: DataFrame, frequent: np.ndarray) -> list[tuple[int, int]]
     return sorted((r.tick, r.size) for r in texts.select("t", "seq").mapInArrow(of, "tick bigint, size bigint").distinct().collect())
 
 
-def windows(texts: DataFrame, used: list[tuple[int, int]], role: int, only_having: np.ndarray | None = None) -> DataFrame:
-    """(t, tag, key): all windows of each text, of every size that the pieces of a partner have by ``used``.
+def windows(texts: DataFrame, used: list[tuple[int, int]], role: int, only_having: np.ndarray | None = None, crowded: np.ndarray = _NONE) -> DataFrame:
+    """(t, tag, part, key): all windows of each text, of every size that the pieces of a partner have by ``used``.
 
     ``only_having`` leaves out texts that have none of these pieces when cut evenly.
     """
@@ -195,9 +228,9 @@ def windows(texts: DataFrame, used: list[tuple[int, int]], role: int, only_havin
                     at, text = whole_windows(starts, k)
                     own = wanted[text]
                     at, text = at[own], text[own]
-                    yield _rows(batch, _packed(codes, k)[at] << 1 | role, text, at - starts[text], length, tags)
+                    yield _rows(batch, _packed(codes, k)[at], role, text, at - starts[text], length, tags, crowded, True)
 
-    return texts.select("t", "seq").mapInArrow(of, "t bigint, tag bigint, key bigint")
+    return texts.select("t", "seq").mapInArrow(of, _KEYS)
 
 
 def _may_be_near(a: Column, b: Column) -> Column:
@@ -215,7 +248,7 @@ def _may_be_near(a: Column, b: Column) -> Column:
         x, y = (F.shiftrightunsigned(c, COUNT_BITS * g).bitwiseAND(mask) for c in (a, b))
         apart += F.least((x - y).bitwiseAND(mask), (y - x).bitwiseAND(mask))
     edits = F.floor(F.exp((F.greatest(*ticks) + 1) * F.lit(TICK)) / PER_EDIT + 1e-6)
-    return (F.abs(ticks[0] - ticks[1]) <= LENGTH_TICKS) & (F.abs(places[0] - places[1]) <= PLACES // 5 + 1) & ((apart <= 2 * edits) | (F.greatest(*ticks) == 1023))
+    return (F.abs(ticks[0] - ticks[1]) <= LENGTH_TICKS) & (F.abs(places[0] - places[1]) <= REACH) & ((apart <= 2 * edits) | (F.greatest(*ticks) == 1023))
 
 
 def _within(a: str, b: str, most: int) -> bool:
@@ -259,11 +292,12 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     """
     training, other = classes.filter("trains"), classes.filter("evals")
     frequent = frequent_pieces(training)
-    cut, slid = pieces(training, frequent, False, 0), windows(other, even_sizes(), 0)
+    crowded = np.union1d(crowded_pieces(training), frequent)
+    cut, slid = pieces(training, frequent, False, 0, crowded), windows(other, even_sizes(), 0, None, crowded)
     if len(frequent):  # texts with frequent pieces change parts: the evaluation side is cut, and finer where it has them too
-        cut = cut.unionByName(pieces(other, frequent, True, 1))
-        slid = slid.unionByName(windows(training, finer_sizes(other, frequent), 1, frequent))
-    met = cut.join(slid.select(F.col("t").alias("u"), F.col("tag").alias("with"), "key"), "key").filter(_may_be_near(F.col("tag"), F.col("with")) & (F.col("t") != F.col("u")))
+        cut = cut.unionByName(pieces(other, frequent, True, 1, crowded))
+        slid = slid.unionByName(windows(training, finer_sizes(other, frequent), 1, frequent, crowded))
+    met = cut.join(slid.select(F.col("t").alias("u"), F.col("tag").alias("with"), "part", "key"), ["key", "part"]).filter(_may_be_near(F.col("tag"), F.col("with")) & (F.col("t") != F.col("u")))
     turned = F.col("key").bitwiseAND(1) == 1
     met = met.select(F.when(turned, F.col("u")).otherwise(F.col("t")).alias("a"), F.when(turned, F.col("t")).otherwise(F.col("u")).alias("b"))
     met = stored(met.distinct(), "met")
@@ -272,12 +306,13 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     return whole.filter(near("seq_a", "seq_b")).select("a", "b")
 
 
-def overlaps(records: DataFrame) -> DataFrame:
-    """(train_id, eval_id, exact): every training and every evaluation record whose texts are equal or near.
+def matched_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t, id, trains): the records of every class of equal texts that overlaps; and (a, b, exact): which classes do.
 
-    ``records`` has bigint id, string seq (canonical, of letters), boolean trains and loaded_at, by which the last of
-    several deliveries of an id counts. Near means an edit distance of at most a tenth of the longer length. Null and
-    empty texts, and records with null trains, overlap with nothing.
+    a has training records and b evaluation records; exact are those of one class, which then is both. ``records`` has bigint id,
+    string seq (canonical, of letters), boolean trains and loaded_at, by which the last of several deliveries of an id counts.
+    Near means an edit distance of at most a tenth of the longer length. Null and empty texts, and records with null
+    trains, overlap with nothing. Copies are rows of the first table alone, however many there are.
     """
     hashes = [F.xxhash64("seq").alias("h1"), F.xxhash64(F.lit(1), "seq").alias("h2")]
     rows = records.filter("id is not null and seq <> ''").select("id", "trains", "loaded_at", "seq", *hashes)
@@ -290,7 +325,23 @@ def overlaps(records: DataFrame) -> DataFrame:
     pairs = stored(near_pairs.unionByName(same), "pairs")
     found = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
     own = stored(classes.select("t", "h1", "h2").join(found, "t"), "found")
-    named = members.join(own, ["h1", "h2"]).select("t", "id", "trains")
+    return members.join(own, ["h1", "h2"]).select("t", "id", "trains"), pairs
+
+
+def overlaps(records: DataFrame) -> DataFrame:
+    """(train_id, eval_id, exact): every training and every evaluation record whose texts are equal or near, by ``matched_classes``."""
+    named, pairs = matched_classes(records)
     left = named.filter("trains").select(F.col("t").alias("a"), F.col("id").alias("train_id"))
     right = named.filter("not trains").select(F.col("t").alias("b"), F.col("id").alias("eval_id"))
     return pairs.join(left, "a").join(right, "b").select("train_id", "eval_id", "exact")
+
+
+def overlapping(records: DataFrame) -> DataFrame:
+    """(eval_id, exact, n_train): every evaluation record that overlaps, whether exactly, and with how many training records.
+
+    Counted by classes, so that copies are never paired.
+    """
+    named, pairs = matched_classes(records)
+    n = named.filter("trains").groupBy(F.col("t").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    of_class = pairs.join(n, "a").groupBy(F.col("b").alias("t")).agg(F.max("exact").alias("exact"), F.sum("n").alias("n_train"))
+    return named.filter("not trains").join(of_class, "t").select(F.col("id").alias("eval_id"), "exact", "n_train")

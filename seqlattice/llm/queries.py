@@ -66,20 +66,20 @@ def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
     return _sequence_spans(spark, folder).groupBy("text").agg(F.length("text").alias("n_residues"), F.countDistinct("id").alias("n_records"), F.count(F.lit(1)).alias("n_places"))
 
 
-def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+def _split_records(spark: SparkSession, folder: str) -> DataFrame:
     trains = F.when(F.col("split_name").isin("train", "valid", "test"), F.col("split_name") == "train")
     records = table(spark, folder, "sequences")
-    return overlap.overlaps(records.select(F.col("seq_id").alias("id"), residues(F.col("a_seq")).alias("seq"), trains.alias("trains"), "loaded_at"))
+    return records.select(F.col("seq_id").alias("id"), residues(F.col("a_seq")).alias("seq"), trains.alias("trains"), "loaded_at")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = _overlaps(spark, folder)
+    pairs = overlap.overlaps(_split_records(spark, folder))
     return pairs.select(F.least("train_id", "eval_id").alias("seq_id_a"), F.greatest("train_id", "eval_id").alias("seq_id_b"))
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per split and source of the evaluation records: how many recur in training, exactly and in all."""
-    hit = _overlaps(spark, folder).groupBy(F.col("eval_id").alias("seq_id")).agg(F.max("exact").alias("exact"), F.count(F.lit(1)).alias("n_train"))
+    hit = overlap.overlapping(_split_records(spark, folder)).withColumnRenamed("eval_id", "seq_id")
     records = latest_records(spark, folder, "split_name", "source_db").filter("split_name in ('valid', 'test')")
     return records.join(hit, "seq_id", "left").groupBy("split_name", "source_db").agg(
         F.count(F.lit(1)).alias("n_records"), F.count("n_train").alias("n_overlapping"),
