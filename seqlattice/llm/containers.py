@@ -24,22 +24,27 @@ from seqlattice.workspace import stored
 #: How a text falls into words before byte pairs are merged; a fixed value that belongs to the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Up to so many different sizes the space that must be lost is reckoned at every branch; it changes the time alone.
+_BOUNDED = 64
+
 
 @dataclass(frozen=True)
 class Packing:
     """capacity: tokens in a container. tokenizer: path of a file of byte-pair ranks. group: pieces packed together.
 
     nodes: fillings that the search of a group may try; beyond them the best packing so far stands. width: fillings tried
-    for one piece, the fullest first. full: share of the capacity from which a container is kept. rounds: times that
-    the others are opened again.
+    for one piece, the fullest first. tries: steps in which these are looked for. With None for all three the search of a
+    group is exact, in a time that grows exponentially with the group. full: share of the capacity from which a container
+    is kept. rounds: times that the others are opened again.
     """
 
     capacity: int = 2048
     tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     pattern: str = PATTERN
     group: int = 1000
-    nodes: int = 4000
-    width: int = 4
+    nodes: int | None = 4000
+    width: int | None = 4
+    tries: int | None = 400
     full: float = 0.995
     rounds: int = 4
 
@@ -66,54 +71,111 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(have: dict[int, int], keys: list[int], room: int, width: int, tries: int = 400) -> list[tuple[int, tuple[int, ...]]]:
+def dominates(one: tuple[int, ...], two: tuple[int, ...]) -> bool:
+    """Whether the pieces of ``two`` can stand in the places of those of ``one``, several in one place if they fit there."""
+    rooms = list(one)
+
+    def place(k: int) -> bool:
+        if k == len(two):
+            return True
+        tried = set()
+        for x, room in enumerate(rooms):
+            if room >= two[k] and room not in tried:
+                tried.add(room)
+                rooms[x] -= two[k]
+                if place(k + 1):
+                    return True
+                rooms[x] = room
+        return False
+
+    return sum(two) <= sum(one) and place(0)
+
+
+def fillings(have: dict[int, int], keys: list[int], room: int, width: int | None = None, tries: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
     """The fullest undominated fillings of ``room`` from ``have`` (size to how many; ``keys``: the sizes, ascending).
 
-    A filling with no more in it than the largest single piece that fits is dominated by that piece, as each of its
-    pieces could take the place of a part of it; so is one to which a piece could be added. A filling that leaves no
-    space ends the enumeration.
+    A filling to which a piece could be added isn't given, nor is one that another dominates: its pieces could take the
+    places of the other's. The enumeration goes from the largest pieces down; it ends after ``tries`` pieces were tried, or
+    when ``width`` fillings without space were found, and at most ``width`` are given. With None for both, all are.
     """
-    top = bisect.bisect_right(keys, room)
-    if not top:
-        return [(room, ())]
-    single = keys[top - 1]
     found: dict[tuple[int, ...], int] = {}
-    least = keys[0]
-    left = tries
+    least = keys[0] if keys else room + 1
+    left, whole = float("inf") if tries is None else tries, 0
 
     def extend(chosen: tuple[int, ...], space: int, below: int) -> bool:
-        nonlocal left
-        if chosen and space < least:
-            if len(chosen) == 1 or room - space > single:
+        """Whether the enumeration has ended."""
+        nonlocal left, whole
+        fits = bisect.bisect_right(keys, space)
+        if space < least or not any(have[keys[k]] > chosen.count(keys[k]) for k in range(fits - 1, -1, -1)):
+            if chosen not in found:
                 found[chosen] = space
-            return space == 0 or left <= 0
-        added = False
-        for k in range(min(below, bisect.bisect_right(keys, space)) - 1, -1, -1):
+                whole += not space
+            return width is not None and whole >= width
+        for k in range(min(below, fits) - 1, -1, -1):
             size = keys[k]
             if have[size] <= chosen.count(size):
                 continue
             left -= 1
-            added = True
-            exact = space - size
-            if exact and have.get(exact, 0) > (exact == size) + chosen.count(exact):  # one more piece fills it
-                found[tuple(sorted((*chosen, size, exact), reverse=True))] = 0
+            if left < 0:
                 return True
-            if extend((*chosen, size), exact, k + 1) or left <= 0:
+            rest = space - size
+            if rest and rest <= size and have.get(rest, 0) > chosen.count(rest) + (rest == size):  # one more piece fills it
+                other = (*chosen, size, rest)
+                if other not in found:
+                    found[other] = 0
+                    whole += 1
+                    if width is not None and whole >= width:
+                        return True
+            if extend((*chosen, size), rest, k + 1):
                 return True
-        if not added and chosen and (len(chosen) == 1 or room - space > single):
-            found[chosen] = space
-            return space == 0
         return False
 
-    if single == room:
-        return [(0, (single,))]
-    extend((), room, top)
-    found.setdefault((single,), room - single)
-    return sorted((space, chosen) for chosen, space in found.items())[:width]
+    extend((), room, len(keys))
+    top = bisect.bisect_right(keys, room)
+    if top:  # the largest single piece, if it leaves no room for more, dominates whatever isn't fuller
+        single = (keys[top - 1],)
+        if room - single[0] < least:
+            found.setdefault(single, room - single[0])
+    kept: list[tuple[int, tuple[int, ...]]] = []
+    for chosen in sorted(found, key=lambda x: (found[x], len(x), [-y for y in x])):  # only a filling that is as full can dominate
+        if not any(dominates(other, chosen) for _, other in kept):
+            kept.append((found[chosen], chosen))
+            if width is not None and len(kept) >= width:
+                break
+    return kept or [(room, ())]
+
 
+def waste(have: dict[int, int], keys: list[int], capacity: int) -> int:
+    """Space that is lost in any packing: what the pieces that are small enough can't fill beside the large ones.
 
-def complete(sizes: list[int], capacity: int, nodes: int, width: int) -> list[list[int]]:
-    """Bin completion by branch and bound; containers as lists of places in ``sizes``, none above ``capacity``."""
+    From the largest piece down: beside a piece, only pieces of up to the space it leaves can stand; if all of these that
+    are not taken yet are less than that space, the rest of it is lost.
+    """
+    lost = free = 0
+    low = 0  # sizes of keys[:low] are counted in free
+    for k in range(len(keys) - 1, -1, -1):
+        size = keys[k]
+        space = capacity - size
+        if space >= size:
+            break
+        while low < len(keys) and keys[low] <= space:
+            free += keys[low] * have[keys[low]]
+            low += 1
+        for _ in range(have[size]):
+            if free < space:
+                lost += space - free
+                free = 0
+            else:
+                free -= space
+    return lost
+
+
+def complete(sizes: list[int], capacity: int, nodes: int | None = None, width: int | None = None, tries: int | None = None) -> list[list[int]]:
+    """Bin completion by branch and bound; containers as lists of places in ``sizes``, none above ``capacity``.
+
+    ``nodes`` fillings are tried at most, ``width`` for one piece, found by ``tries`` steps; with None for all three the packing
+    has the least containers that are possible.
+    """
     best = best_fit(sizes, capacity)
     total = sum(sizes)
     least = -(-total // capacity)
@@ -124,6 +186,9 @@ def complete(sizes: list[int], capacity: int, nodes: int, width: int) -> list[li
         places.setdefault(x, []).append(i)
     have = {x: len(p) for x, p in places.items()}
     keys = sorted(have)
+    least = -(-(total + waste(have, keys, capacity)) // capacity)
+    if len(best) <= least:
+        return best
 
     def take(x: int, n: int) -> None:
         have[x] = have.get(x, 0) + n
@@ -137,39 +202,39 @@ def complete(sizes: list[int], capacity: int, nodes: int, width: int) -> list[li
     branches: list[list[tuple[int, tuple[int, ...]]]] = []
     lost = [0]
     solution = None
-    largest = 0
-    while nodes > 0:
+    left = float("inf") if nodes is None else nodes
+    while left > 0:
         may_lose = (len(best if solution is None else solution) - 1) * capacity - total
+        options: list[tuple[int, tuple[int, ...]]] = []
         if not keys:
             if lost[-1] <= may_lose:
                 solution = list(packed)
                 if len(solution) <= least:
                     break
-            options = None
-        else:
+        elif len(keys) > _BOUNDED or lost[-1] + waste(have, keys, capacity) <= may_lose:
             largest = keys[-1]
             take(largest, -1)
-            options = [(space, (largest, *chosen)) for space, chosen in fillings(have, keys, capacity - largest, width)]
+            options = [(space, (largest, *chosen)) for space, chosen in fillings(have, keys, capacity - largest, width, tries)]
             take(largest, 1)
             options.reverse()
-            branches.append(options)
+        branches.append(options)
         while branches:  # the next branch that can still be better
+            if len(packed) == len(branches):
+                for x in packed.pop():
+                    take(x, 1)
+                lost.pop()
             options = branches[-1]
-            while options and lost[len(packed)] + options[-1][0] > may_lose:
+            may_lose = (len(best if solution is None else solution) - 1) * capacity - total
+            while options and lost[-1] + options[-1][0] > may_lose:
                 options.pop()
-            if options and len(packed) == len(branches) - 1:
+            if options:
                 space, chosen = options.pop()
                 for x in chosen:
                     take(x, -1)
                 packed.append(chosen)
-                lost[len(packed) :] = [lost[len(packed) - 1] + space]
-                nodes -= 1
+                lost.append(lost[-1] + space)
+                left -= 1
                 break
-            if len(packed) == len(branches):
-                for x in packed.pop():
-                    take(x, 1)
-                if options:
-                    continue
             branches.pop()
         else:
             break
@@ -219,7 +284,7 @@ def _packed(rows: DataFrame, packing: Packing, number: int) -> DataFrame:
         for group in groups():
             sizes = group.column("n").to_pylist()
             container, fill = [""] * len(sizes), [0] * len(sizes)
-            for places in complete(sizes, packing.capacity, packing.nodes, packing.width):
+            for places in complete(sizes, packing.capacity, packing.nodes, packing.width, packing.tries):
                 n = sum(sizes[i] for i in places)
                 for i in places:
                     container[i], fill[i] = f"{number}-{part}-{made}", n

@@ -4,7 +4,7 @@ import math
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqlattice.llm.containers import Packing, best_fit, complete, fillings, pack
+from seqlattice.llm.containers import Packing, best_fit, complete, dominates, fillings, pack, waste
 
 
 def _least(sizes, capacity):
@@ -62,3 +62,36 @@ def test_pack(spark):
     assert (got.groupby("id").piece.nunique() == (sizes / 256).apply(math.ceil)).all()
     assert got.container.nunique() <= math.ceil(got.n.sum() / 256) + 3
     assert pack(spark.createDataFrame([], "id bigint, text string"), packing).count() == 0
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(15, 60), min_size=6, max_size=11))
+def test_exact_without_caps(sizes):
+    """Sizes of a quarter to just above a half of the capacity, where best fit is often not the best."""
+    got, least = complete(sizes, 100), _least(sizes, 100)
+    assert _valid(got, sizes, 100) and len(got) == least
+    keys = sorted(set(sizes))
+    assert sum(sizes) + waste({x: sizes.count(x) for x in keys}, keys, 100) <= least * 100
+
+
+def test_search_beats_best_fit():
+    sizes = [45, 44, 43, 34, 33, 32, 23, 22, 24, 51, 49, 38, 62]  # 500 in all
+    assert len(best_fit(sizes, 100)) == 6 and len(complete(sizes, 100)) == _least(sizes[:], 100)
+
+
+def test_dominance():
+    assert dominates((7,), (4, 3)) and dominates((5, 4), (5, 3)) and dominates((6, 5), (4, 3, 2, 2))
+    assert not dominates((4, 3), (7,)) and not dominates((6, 5), (4, 4, 3)) and not dominates((6, 3), (5, 4))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=7), st.integers(3, 20))
+def test_all_undominated_fillings_are_given(sizes, room):
+    have = {x: sizes.count(x) for x in sizes}
+    got = [f for _, f in fillings(have, sorted(have), room)]
+    every = {tuple(sorted(c, reverse=True)) for n in range(1, len(sizes) + 1) for c in itertools.combinations(sizes, n) if sum(c) <= room}
+    for f in every:
+        assert any(dominates(g, f) for g in got)
+    for f in got:
+        assert f == () or f in every
+        assert not any(dominates(g, f) for g in got if g != f)
