@@ -30,7 +30,7 @@ LENGTH_TICKS = 4
 #: By how much the places of a piece and its window may differ.
 REACH = PLACES // 5 + 1
 _NONE = np.zeros(0, np.int64)
-_KEYS = "t bigint, tag bigint, part int, key bigint"
+_KEYS = "t bigint, tag bigint, key bigint"
 TICK = float(np.log(PER_EDIT / (PER_EDIT - 1))) / LENGTH_TICKS
 
 
@@ -62,7 +62,7 @@ def _rows(batch: pa.RecordBatch, key: np.ndarray, role: int, text: np.ndarray, p
     """Rows of keys; those of a crowded key are parted by length and place, so that only what may be near meets.
 
     A partner's length differs by at most LENGTH_TICKS ticks and its place by REACH; with ``every`` a row goes to each part in
-    which a partner may be (four at most), without it to its own.
+    which a partner may be (four at most), without it to its own. The part stands above the key, in bits that no key has.
     """
     place = pos * PLACES // length[text]
     tick = tags[text] >> (COUNT_BITS * GROUPS)
@@ -82,7 +82,7 @@ def _rows(batch: pa.RecordBatch, key: np.ndarray, role: int, text: np.ndarray, p
     t = batch.column(0).to_numpy(zero_copy_only=False)[text[at]]
     tag = place[at] << (COUNT_BITS * GROUPS + 10) | tags[text[at]]
     # in this order what changes from row to row lies together, which shuffles in two thirds of the bytes
-    return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(tag), pa.array(part.astype(np.int32)), pa.array(key[at] << 1 | role)], names=["t", "tag", "part", "key"])
+    return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(tag), pa.array(part << 50 | key[at] << 1 | role)], names=["t", "tag", "key"])
 
 
 def _even_cut(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def _having(codes: np.ndarray, starts: np.ndarray, frequent: np.ndarray) -> np.n
 
 
 def pieces(texts: DataFrame, frequent: np.ndarray, finer: bool, role: int, crowded: np.ndarray = _NONE) -> DataFrame:
-    """(t, tag, part, key): the disjoint pieces of each text with bigint t and string seq; texts that allow no edit give none.
+    """(t, tag, key): the disjoint pieces of each text with bigint t and string seq; texts that allow no edit give none.
 
     With ``finer``, texts with frequent pieces are cut finer; else they are left out. Keys of different roles don't meet.
     """
@@ -208,7 +208,7 @@ def finer_sizes(texts: DataFrame, frequent: np.ndarray) -> list[tuple[int, int]]
 
 
 def windows(texts: DataFrame, used: list[tuple[int, int]], role: int, only_having: np.ndarray | None = None, crowded: np.ndarray = _NONE) -> DataFrame:
-    """(t, tag, part, key): all windows of each text, of every size that the pieces of a partner have by ``used``.
+    """(t, tag, key): all windows of each text, of every size that the pieces of a partner have by ``used``.
 
     ``only_having`` leaves out texts that have none of these pieces when cut evenly.
     """
@@ -297,7 +297,7 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     if len(frequent):  # texts with frequent pieces change parts: the evaluation side is cut, and finer where it has them too
         cut = cut.unionByName(pieces(other, frequent, True, 1, crowded))
         slid = slid.unionByName(windows(training, finer_sizes(other, frequent), 1, frequent, crowded))
-    met = cut.join(slid.select(F.col("t").alias("u"), F.col("tag").alias("with"), "part", "key"), ["key", "part"]).filter(_may_be_near(F.col("tag"), F.col("with")) & (F.col("t") != F.col("u")))
+    met = cut.join(slid.select(F.col("t").alias("u"), F.col("tag").alias("with"), "key"), "key").filter(_may_be_near(F.col("tag"), F.col("with")) & (F.col("t") != F.col("u")))
     turned = F.col("key").bitwiseAND(1) == 1
     met = met.select(F.when(turned, F.col("u")).otherwise(F.col("t")).alias("a"), F.when(turned, F.col("t")).otherwise(F.col("u")).alias("b"))
     met = stored(met.distinct(), "met")
