@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession, name: str = "work") -> str:
-    """A new folder below the shared one that ``spark.checkpoint.dir`` names, kept until the driver ends or ``clear`` is called.
+def base_dir(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
     Where the session names none, only a local master is accepted and a temporary folder becomes the
     checkpoint directory: on a cluster a machine-local folder would not be seen by the other executors.
@@ -22,7 +22,12 @@ def shared_dir(spark: SparkSession, name: str = "work") -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-seqlattice-"))
         base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/seqlattice-{name}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str = "work") -> str:
+    """A new folder below the shared one, kept until the driver ends or ``clear`` is called."""
+    path = f"{base_dir(spark)}/seqlattice-{name}-{uuid.uuid4().hex[:12]}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(folder)
