@@ -1,31 +1,34 @@
 """Personal information inside free text, found by a linear-chain conditional random field and replaced by placeholders.
 
 The field labels the tokens of a line from the shapes of words and the words around them; it is trained here, from a small
-labelled table, and decoded by Viterbi steps over many lines at once. A line without any sign of personal information, by
-a pattern wider than every kind, is not decoded; nor is a line twice in a batch.
+labelled table, and decoded by Viterbi steps over many lines at once. Every line is decoded, though none twice in a
+batch; long lines are decoded in windows that overlap.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seqlattice.llm.pii_table import KINDS
 
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
-#: What a decoded line must hold somewhere: an address sign or the word for it, six digits in close sequence, a number
-#: before a word or after a capitalised one, or two words of which both begin with a capital.
-SCREEN = r"[\p{L}\p{N}_] ?@ ?[\p{L}\p{N}_]|\b(?:at|AT|At)\b|(?:\d[\s()./-]{0,3}){6}|\d[\p{L}\p{N}_-]*,? \p{L}|\p{Lu}[\p{L}\p{N}_.'-]* \d|\p{L}(?:weg|allee|gasse|platz|stra(?:ß|ss)e) \d|\p{Lu}[\p{L}\p{N}_'’-]*[.,]? \p{Lu}"
 _TOKEN = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+|\d+|[^\w\s]|_")
-_UPPER = "[" + "".join(re.escape(chr(c)) for c in range(0x250) if chr(c).isupper()) + "]"
+#: What a name is written with: letters and their marks, blanks, and the signs of initials, double names and lists.
+_NAME = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f.,'’ \t\u00a0-])*")
 _PAD, _SIZE = 5, 1 << 18
+#: Tokens of a window that count, and tokens on either side of them that are decoded with them; tokens at once.
+_WINDOW, _MARGIN, _AT_ONCE = 192, 32, 1 << 16
 #: Offsets of tokens that a feature combines; w are words, c shapes with the space before them.
 TEMPLATES = (
     ("c0",), ("w0",), ("w-1",), ("w1",), ("w-2",), ("w2",), ("w-3",), ("w3",), ("c-1", "c0"), ("c0", "c1"), ("c-2", "c-1", "c0"), ("c0", "c1", "c2"), ("c-1", "c0", "c1"), ("c-3", "c-2", "c-1", "c0"), ("c0", "c1", "c2", "c3"),
@@ -55,34 +58,88 @@ def _shape(token: str) -> int:
     return 50 + ord(token) if ord(token) < 128 else 180
 
 
+#: Classes of signs: space, letter, combining mark, digit, any other.
+_SPACE, _LETTER, _MARK, _DIGIT, _SIGN = range(5)
+
+
+def _class(x: str) -> int:
+    if x.isspace():
+        return _SPACE
+    if x.isalnum():
+        return _DIGIT if x.isdecimal() else _LETTER
+    return _MARK if "\u0300" <= x <= "\u036f" else _SIGN
+
+
+@cache
+def _classes() -> np.ndarray:
+    return np.array([_class(chr(c)) for c in range(0x3000)], np.uint8)
+
+
+def _signs(codes: np.ndarray) -> np.ndarray:
+    """The class of each code point."""
+    table = _classes()
+    out = table[np.minimum(codes, len(table) - 1)]
+    for c in np.unique(codes[codes >= len(table)]).tolist():
+        out[codes == c] = _class(chr(c))
+    return out
+
+
+@dataclass
 class _Tokens:
-    """Tokens of lines as numbers, with what was seen kept, in one row with padding between lines."""
-
-    def __init__(self, words: dict[str, int]) -> None:
-        self.words, self.seen = words, {}
-
-    def of(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
-        known, seen, codes, places = self.words, self.seen, [], []
-        pad = [(0, 0)] * _PAD
-        for line in lines:
-            codes += pad
-            own, last = [], -1
-            for m in _TOKEN.finditer(line):
-                token = m.group()
-                code = seen.get(token)
-                if code is None:
-                    shape = _shape(token)
-                    code = (known.get(token.lower(), 1000 + shape) if shape >= 20 else 1000 + shape, 2 * shape + 2)
-                    if len(seen) < 200_000:
-                        seen[token] = code
-                start = m.start()
-                codes.append(code if start == last else (code[0], code[1] + 1))
-                last = m.end()
-                own.append((start, last))
-            places.append(own)
-        codes += pad
-        w, c = np.array(codes, np.uint64).T
-        return w, c, places
+    """Tokens of lines: a word is a run of letters with their marks, a number one of digits, any other sign stands alone.
+
+    w and c are words and shapes (with the space before them) as numbers, in one row with padding around every line; of the
+    tokens: number of the line, start and end in it. sizes: tokens of each line.
+    """
+
+    w: np.ndarray
+    c: np.ndarray
+    line: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    sizes: np.ndarray
+
+    @property
+    def row(self) -> np.ndarray:
+        """Where each token's features are: the padding before the first line isn't counted."""
+        return np.arange(len(self.line)) + _PAD * self.line
+
+
+def _tokens(lines: list[str], words: dict[str, int]) -> _Tokens:
+    """All tokens of ``lines`` at once; what a token is told by is worked out once for each different one."""
+    text = "\n".join(lines) + "\n"
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _signs(codes)
+    places = np.arange(len(codes))
+    base = np.maximum.accumulate(np.where(kind != _MARK, places, 0))  # the last sign that is no mark
+    word = (kind == _LETTER) | ((kind == _MARK) & (kind[base] == _LETTER))
+    digit = kind == _DIGIT
+    begins = (kind != _SPACE) & ~np.concatenate(([False], (word[1:] & word[:-1]) | (digit[1:] & digit[:-1])))
+    start = np.flatnonzero(begins)
+    goes_on = np.concatenate((word[1:] & word[:-1] | digit[1:] & digit[:-1], [False]))
+    end = np.flatnonzero((kind != _SPACE) & ~goes_on) + 1
+    line_start = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])))
+    line = np.searchsorted(line_start, start, "right") - 1
+    sizes = np.bincount(line, minlength=len(lines))
+    if not len(start):
+        empty = np.zeros(_PAD * (len(lines) + 1), np.uint64)
+        return _Tokens(empty, empty, line, start, end, sizes)
+    inside = kind != _SPACE
+    power = np.cumprod(np.full(int((end - start).max()), 0x9E3779B97F4A7C15, np.uint64))
+    owner = np.cumsum(begins)[inside] - 1
+    mixed = (codes[inside].astype(np.uint64) + np.uint64(1)) * power[places[inside] - start[owner]]
+    h = np.add.reduceat(mixed, np.concatenate(([0], np.cumsum(end - start)[:-1])))
+    _, first, number = np.unique(h ^ (h >> np.uint64(29)), return_index=True, return_inverse=True)
+    known = np.zeros((len(first), 2), np.uint64)
+    for k, (a, b) in enumerate(zip(start[first].tolist(), end[first].tolist(), strict=True)):
+        token = text[a:b]
+        shape = _shape(token)
+        known[k] = (words.get(token.lower(), 1000 + shape) if shape >= 20 else 1000 + shape), 2 * shape + 2
+    glued = np.concatenate(([False], start[1:] == end[:-1]))
+    at = np.arange(len(start)) + _PAD * (line + 1)
+    w, c = (np.zeros(len(start) + _PAD * (len(lines) + 1), np.uint64) for _ in range(2))
+    w[at], c[at] = known[number, 0], known[number, 1] + ~glued
+    return _Tokens(w, c, line, start - line_start[line], end - line_start[line], sizes)
 
 
 def _features(w: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -148,7 +205,7 @@ def fit(lines: list[tuple[str, list[tuple[int, int, str]]]], least: int = 12, ro
     """Maximum likelihood by adaptive gradient steps over batches of lines."""
     count = Counter(m.group().lower() for text, _ in lines for m in _TOKEN.finditer(text))
     words = {x: 2000 + k for k, x in enumerate(sorted(x for x, n in count.items() if n >= least and x[0].isalpha()))}
-    tokens, rng = _Tokens(words), np.random.default_rng(seed)
+    rng = np.random.default_rng(seed)
     k = len(LABELS)
     weights, energy = np.zeros((_SIZE, k)), np.full((_SIZE, k), 1e-2)
     steps, step_energy = np.zeros((k, k)), np.full((k, k), 1.0)
@@ -157,7 +214,8 @@ def fit(lines: list[tuple[str, list[tuple[int, int, str]]]], least: int = 12, ro
     number = {x: i for i, x in enumerate(LABELS)}
     ready = []
     for text, spans in lines:
-        w, c, (places,) = tokens.of([text])
+        tokens = _tokens([text.replace("\n", " ")], words)
+        places = list(zip(tokens.start.tolist(), tokens.end.tolist(), strict=True))
         if not places:
             continue
         y = np.zeros(len(places), np.int64)
@@ -167,7 +225,7 @@ def fit(lines: list[tuple[str, list[tuple[int, int, str]]]], least: int = 12, ro
                 if a >= start and b <= end:
                     y[i] = number[f"{'I' if begun else 'B'}-{kind}"]
                     begun = True
-        ready.append((_features(w, c), y))
+        ready.append((_features(tokens.w, tokens.c), y))
     for _ in range(rounds):
         order = rng.permutation(len(ready))
         order = np.concatenate([part[np.argsort([len(ready[i][1]) for i in part])] for part in np.array_split(order, max(1, len(ready) // (8 * batch)))])
@@ -194,6 +252,33 @@ def fit(lines: list[tuple[str, list[tuple[int, int, str]]]], least: int = 12, ro
     return Tagger(words, weights.astype(np.float32), (steps + allowed).astype(np.float32), first.astype(np.float32))
 
 
+def stored(table: DataFrame, folder: str, **options) -> Tagger:
+    """The tagger that ``train`` makes of ``table`` with ``options``, from ``folder`` if it was made before, else made and kept there.
+
+    The folder is named by what the table and the options are, so that another table gives another tagger. ``train`` bounds the
+    table.
+    """
+    spark = table.sparkSession
+    digest = table.select(F.sum(F.xxhash64("text", "spans").cast("decimal(38,0)")), F.count(F.lit(1))).first()
+    path = f"{folder.rstrip('/')}/seqlattice-tagger-{hashlib.blake2b(repr((tuple(digest), sorted(options.items()), TEMPLATES, LABELS, _SIZE)).encode(), digest_size=10).hexdigest()}"
+    if path not in _kept:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            made = train(table, **options)
+            used = np.flatnonzero(made.weights.any(axis=1))
+            rows = [("words", 0, "\0".join(made.words).encode()), ("used", 0, used.tobytes()), ("weights", 0, made.weights[used].tobytes()), ("steps", 0, made.steps.tobytes()), ("first", 0, made.first.tobytes())]
+            spark.createDataFrame(rows, "name string, part int, value binary").coalesce(1).write.mode("overwrite").parquet(path)
+        value = {r["name"]: bytes(r["value"]) for r in spark.read.schema("name string, part int, value binary").parquet(path).collect()}
+        weights = np.zeros((_SIZE, len(LABELS)), np.float32)
+        weights[np.frombuffer(value["used"], np.int64)] = np.frombuffer(value["weights"], np.float32).reshape(-1, len(LABELS))
+        words = {x: 2000 + k for k, x in enumerate(value["words"].decode().split("\0")) if x}
+        _kept[path] = Tagger(words, weights, np.frombuffer(value["steps"], np.float32).reshape(len(LABELS), -1), np.frombuffer(value["first"], np.float32))
+    return _kept[path]
+
+
+_kept: dict[str, Tagger] = {}
+
+
 def _viterbi(scores: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> np.ndarray:
     b, n, k = scores.shape
     came = np.zeros((b, n, k), np.int8)
@@ -212,40 +297,94 @@ def _viterbi(scores: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> np.ndarra
     return label
 
 
-def decode(lines: list[str], tagger: Tagger, tokens: _Tokens | None = None, at_once: int = 512) -> list[list[tuple[int, int, str]]]:
-    """The spans (start, end, kind) of every line."""
-    tokens = tokens or _Tokens(tagger.words)
+def decode(lines: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
+    """The spans (start, end, kind) of every line.
+
+    A line of more than a window's tokens is decoded in windows that overlap by twice the margin, each token's label being
+    that of the window in whose middle it lies: what stands farther away doesn't change it.
+    """
     out: list[list[tuple[int, int, str]]] = [[] for _ in lines]
-    order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
-    for at in range(0, len(order), at_once):
-        own = order[at : at + at_once]
-        w, c, places = tokens.of([lines[i] for i in own])
-        sizes = np.array([len(p) for p in places])
-        n = int(sizes.max(initial=0))
-        if not n:
-            continue
-        line = np.repeat(np.arange(len(own)), sizes)
-        place = np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        row = np.arange(len(line)) + _PAD * line  # the padding before a line is left out
-        features = _features(w, c)[row]
-        scores = np.zeros((len(own), n, len(LABELS)), np.float32)
-        flat = tagger.weights[features[:, 0]]
-        for t in range(1, features.shape[1]):
-            flat += tagger.weights[features[:, t]]
-        scores[line, place] = flat
-        label = _viterbi(scores, sizes, tagger)
-        for i in np.flatnonzero(label.any(axis=1)):
-            spans: list[list] = []
-            for (start, end), x in zip(places[i], label[i].tolist(), strict=False):
-                if x:
-                    if LABELS[x][0] == "B" or not spans:
-                        spans.append([start, end, LABELS[x][2:]])
-                    else:
-                        spans[-1][1] = end
-            out[own[i]] = [tuple(s) for s in spans]
+    k = 0
+    while k < len(lines):
+        end, size = k, 0
+        while end < len(lines) and (end == k or size < 4 * _AT_ONCE):
+            size += len(lines[end])
+            end += 1
+        for i, spans in _decoded(lines[k:end], tagger):
+            out[k + i] = spans
+        k = end
     return out
 
 
+def _decoded(lines: list[str], tagger: Tagger) -> Iterator[tuple[int, list[tuple[int, int, str]]]]:
+    tokens = _tokens([x.replace("\n", " ") for x in lines], tagger.words)
+    line, sizes = tokens.line, tokens.sizes
+    if not len(line):
+        return
+    first = np.cumsum(sizes) - sizes
+    features, row = _features(tokens.w, tokens.c), tokens.row
+    flat = np.zeros((len(line), len(LABELS)), np.float32)
+    own = np.empty((min(len(line), _AT_ONCE // 8), len(LABELS)), np.float32)
+    for k in range(0, len(line), len(own)):
+        f = np.ascontiguousarray(features[row[k : k + len(own)]].T, np.int64)
+        for t in range(len(f)):
+            flat[k : k + len(own)] += np.take(tagger.weights, f[t], axis=0, out=own[: f.shape[1]], mode="clip")
+    part, start_of, sizes_of = _parts(flat, line, first, sizes, tagger)
+    windows = np.maximum(1, -(-sizes_of // _WINDOW))
+    of = np.repeat(np.arange(len(part)), windows)
+    core = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * _WINDOW
+    start, stop = np.maximum(0, core - _MARGIN), np.minimum(sizes_of[of], core + _WINDOW + _MARGIN)
+    label = np.zeros(len(line), np.int8)
+    order = np.argsort(stop - start, kind="stable")
+    long = (stop - start)[order]
+    at = 0
+    while at < len(order):
+        last = at + 1
+        while last < len(order) and (last + 1 - at) * long[last] <= _AT_ONCE:
+            last += 1
+        own, n = order[at:last], long[at:last]
+        at = last
+        inside = np.arange(n.max())[None] < n[:, None]
+        token = ((start_of[of] + start)[own][:, None] + np.arange(n.max()))[inside]
+        scores = np.zeros((len(own), int(n.max()), len(LABELS)), np.float32)
+        scores[inside] = flat[token]
+        found = _viterbi(scores, n, tagger)[inside]
+        place, middle = token - np.repeat(start_of[of[own]], n), np.repeat(core[own], n)
+        counts = (place >= middle) & (place < middle + _WINDOW)
+        label[token[counts]] = found[counts]
+    for i in np.unique(line[label > 0]).tolist():
+        spans: list[list] = []
+        for k in (np.flatnonzero(label[first[i] : first[i] + sizes[i]]) + first[i]).tolist():
+            kind = LABELS[label[k]]
+            if kind[0] == "B" or not spans:
+                spans.append([int(tokens.start[k]), int(tokens.end[k]), kind[2:]])
+            else:
+                spans[-1][1] = int(tokens.end[k])
+        yield i, [tuple(s) for s in spans]
+
+
+def _parts(flat: np.ndarray, line: np.ndarray, first: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' parts that may hold a label other than O: line, first token and number of tokens.
+
+    Without loss: a span gains, over O at all its tokens, no more than the sum of their best scores over that of O, with the
+    best step into a label for each and the best step out; what lies in no run of tokens with a positive sum is O in the
+    best labelling. A part has the token before and after it, so that its steps from and to O count.
+    """
+    steps = tagger.steps - tagger.steps[0, 0]
+    most = max(steps[:, 1:].max(), (tagger.first[1:] - tagger.first[0]).max()) + max(0.0, steps[1:, 0].max())
+    gain = np.maximum(flat[:, 1:].max(axis=1) - flat[:, 0] + most, -50).astype(np.float64)
+    total = np.cumsum(gain)
+    apart = (total.max() - total.min() + 100) * line
+    ahead = total - gain  # sums before each token
+    best_end = total - (np.minimum.accumulate(ahead - apart) + apart)
+    best_start = np.maximum.accumulate((total - apart)[::-1])[::-1] + apart - ahead
+    may = np.flatnonzero(best_end + best_start - gain > -1e-3)
+    low, high = np.maximum(may - 1, first[line[may]]), np.minimum(may + 2, (first + sizes)[line[may]])
+    new = np.flatnonzero(np.concatenate(([True], (line[may[1:]] != line[may[:-1]]) | (low[1:] > high[:-1])))) if len(may) else may
+    last = np.concatenate([new[1:], [len(may)]]).astype(np.int64) - 1 if len(may) else may
+    return line[may[new]], low[new], high[last] - low[new]
+
+
 def _valid(kind: str, line: str, start: int, end: int) -> bool:
     """An exact check of what the field found: what a span of its kind can't lack; none begins or ends inside a word."""
     text = line[start:end]
@@ -261,58 +400,37 @@ def _valid(kind: str, line: str, start: int, end: int) -> bool:
     if kind == "id_number":
         return digits >= 6
     if kind == "street_address":
-        return digits >= 1 and any(x.isalpha() for x in text)
-    return bool(re.match(r"[^\W\d_]", text)) and len(text) > 3
-
-
-def _parts(line: str, longest: int, around: int) -> list[tuple[int, str]]:
-    """A line as (offset, part): whole, or, of a long one, what lies around each place that the screen lets through."""
-    if len(line) <= longest and "\r" not in line:
-        return [(0, line)]
-    parts: list[list[int]] = []
-    for m in _PYTHON_SCREEN.finditer(line):
-        start, end = max(0, m.start() - around), min(len(line), m.end() + around)
-        if parts and start <= parts[-1][1]:
-            parts[-1][1] = max(end, parts[-1][1])
-        else:
-            parts.append([start, end])
-    out = []
-    for start, end in parts:
-        while start > 0 and line[start - 1].isalnum():
-            start -= 1
-        while end < len(line) and line[end].isalnum():
-            end += 1
-        at = start
-        for piece in line[start:end].split("\r"):
-            out.append((at, piece))
-            at += len(piece) + 1
-    return out
-
+        return digits >= 1 and bool(re.search(r"[^\W\d_]{3}", text))
+    return len(text) > 1 and not text[0].islower() and bool(_NAME.fullmatch(text))
 
-_PYTHON_SCREEN = re.compile(SCREEN.replace(r"[\p{L}\p{N}_]", r"\w").replace(r"\p{L}\p{N}_", r"\w").replace(r"\p{Lu}", _UPPER).replace(r"\p{L}", r"[^\W\d_]"))
 
-
-def _found(texts: pa.Array, tagger: Tagger, longest: int = 400, around: int = 120) -> Iterator[tuple[int, int, list[tuple[int, int, str]], str]]:
+def _found(texts: pa.Array, tagger: Tagger) -> Iterator[tuple[int, int, list[tuple[int, int, str]], str]]:
     """(document, line, spans, line's text) of every line with spans."""
     texts = texts.cast(pa.large_string()).fill_null("")
     lines = pc.split_pattern(texts, "\n")
     flat = lines.flatten()
-    hit = np.flatnonzero(pc.match_substring_regex(flat, SCREEN).to_numpy(zero_copy_only=False))
     begin = lines.offsets.to_numpy() - lines.offsets[0].as_py()
-    doc = np.searchsorted(begin, hit, "right") - 1
-    distinct = pc.dictionary_encode(flat.take(pa.array(hit)))
+    distinct = pc.dictionary_encode(flat)
     if isinstance(distinct, pa.ChunkedArray):
         distinct = distinct.combine_chunks()
     strings = distinct.dictionary.to_pylist()
-    parts = [(i, at, part) for i, line in enumerate(strings) for at, part in _parts(line, longest, around)]
-    spans: dict[int, dict[tuple[int, int], str]] = {}
+    parts: list[tuple[int, int, str]] = []
+    for i, line in enumerate(strings):
+        at = 0
+        for part in line.split("\r"):
+            if len(part) > 2:  # no kind has fewer signs
+                parts.append((i, at, part))
+            at += len(part) + 1
+    spans: dict[int, list[tuple[int, int, str]]] = {}
     for (i, at, part), own in zip(parts, decode([p for _, _, p in parts], tagger), strict=True):
         for start, end, kind in own:
             if _valid(kind, part, start, end):
-                spans.setdefault(i, {})[at + start, at + end] = kind
-    for d, line, i in zip(doc.tolist(), (hit - begin[doc]).tolist(), distinct.indices.to_pylist(), strict=True):
-        if i in spans:
-            yield d, line, [(a, b, k) for (a, b), k in sorted(spans[i].items())], strings[i]
+                spans.setdefault(i, []).append((at + start, at + end, kind))
+    number = distinct.indices.to_numpy()
+    hit = np.flatnonzero(np.isin(number, np.fromiter(spans, np.int64, len(spans))))
+    doc = np.searchsorted(begin, hit, "right") - 1
+    for d, line, i in zip(doc.tolist(), (hit - begin[doc]).tolist(), number[hit].tolist(), strict=True):
+        yield d, line, spans[i], strings[i]
 
 
 def find(documents: DataFrame, tagger: Tagger) -> DataFrame:

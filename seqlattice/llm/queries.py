@@ -11,7 +11,7 @@ from seqlattice.functions.residues import residues
 from seqlattice.llm import containers, leakage, overlap, pii, spans, splits, terms
 from seqlattice.llm.pii_table import labelled_table
 from seqlattice.sources.tables import latest_records, table
-from seqlattice.workspace import lookup_hot
+from seqlattice.workspace import base_dir, lookup_hot
 
 
 def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,13 +107,13 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    spans = pii.find(_documents(spark, folder), pii.train(labelled_table(spark)))
+    spans = pii.find(_documents(spark, folder), pii.stored(labelled_table(spark), base_dir(spark)))
     return spans.select(F.col("id").alias("doc_id"), F.col("kind").alias("pii_kind"), F.col("text").alias("pii_text")).distinct()
 
 
 def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with typed placeholders in place of personal information."""
-    return pii.redact(_documents(spark, folder), pii.train(labelled_table(spark))).withColumnRenamed("id", "doc_id")
+    return pii.redact(_documents(spark, folder), pii.stored(labelled_table(spark), base_dir(spark))).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

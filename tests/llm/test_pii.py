@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from seqlattice.llm import pii
-from seqlattice.llm.pii_table import KINDS, labelled_lines, labelled_table
+from seqlattice.llm.pii_table import HELD_OUT, KINDS, labelled_lines, labelled_table, other_lines, training_lines
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +78,56 @@ def test_training_takes_a_bounded_table(spark):
     with pytest.raises(ValueError):
         pii.train(labelled_table(spark, 30), max_rows=20)
     assert pii.train(labelled_table(spark, 60)).weights.any()
+
+
+@pytest.fixture(scope="module")
+def full_tagger():
+    return pii.fit(training_lines())
+
+
+def test_accuracy_on_frames_that_were_not_trained_on(full_tagger):
+    lines = other_lines(3000, 79, HELD_OUT)
+    got = pii.decode([x for x, _ in lines], full_tagger)
+    for kind in KINDS:
+        true = {(k, s) for k, (_, own) in enumerate(lines) for s in own if s[2] == kind}
+        found = {(k, s) for k, own in enumerate(got) for s in own if s[2] == kind and pii._valid(s[2], lines[k][0], s[0], s[1])}
+        assert len(true & found) / len(true) > 0.88 and len(true & found) / len(found) > 0.88, (kind, len(true & found) / len(true), len(true & found) / len(found))
+
+
+def test_names_of_many_countries(full_tagger):
+    for text, name in (("Dear Ms Priya Raman, thanks", "Priya Raman"), ("written by Jean Moreau", "Jean Moreau"), ("Contact person: Maria González", "Maria González"), ("From: Bob Li <bob@li.example>", "Bob Li")):
+        (own,) = pii.decode([text], full_tagger)
+        assert name in {text[a:b] for a, b, kind in own if kind == "person_name"}, (text, own)
+
+
+def test_only_parts_without_a_label_are_left_out(full_tagger, monkeypatch):
+    lines = [x for x, _ in labelled_lines(300, 5) + other_lines(300, 6)] + ["", " ", "x", "\u0301", "a" * 3000, "if (a) { b(); } " * 200]
+    lines.append(" ".join(lines[:150]))
+    got = pii.decode(lines, full_tagger)
+    monkeypatch.setattr(pii, "_parts", lambda flat, line, first, sizes, tagger: (np.flatnonzero(sizes), first[sizes > 0], sizes[sizes > 0]))
+    assert got == pii.decode(lines, full_tagger)
+    monkeypatch.setattr(pii, "_WINDOW", 10**6)  # long lines whole
+    assert got == pii.decode(lines, full_tagger)
+
+
+def test_tokens_by_the_pattern():
+    import re
+
+    pattern = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+|\d+|[^\w\s]|_")
+    lines = ["Zoe\u0308 O'Neil_1 20²x ½", "", "  ", "\u0301a", "日本語 a1", "\U0001f600x\U00010400", "a\u00a0b\tc", "٣٤5"]
+    got = pii._tokens(lines, {})
+    for k, line in enumerate(lines):
+        own = got.line == k
+        assert [m.span() for m in pattern.finditer(line)] == list(zip(got.start[own].tolist(), got.end[own].tolist(), strict=True))
+
+
+def test_the_tagger_is_kept(spark, tmp_path):
+    table = labelled_table(spark, 80)
+    made = pii.stored(table, str(tmp_path))
+    pii._kept.clear()
+    again = pii.stored(table, str(tmp_path))
+    assert len(list(tmp_path.iterdir())) == 1 and again.words == made.words and (again.weights == made.weights).all() and (again.steps == made.steps).all()
+    lines = [x for x, _ in labelled_lines(40, 3)]
+    assert pii.decode(lines, again) == pii.decode(lines, pii.train(table))
+    pii.stored(labelled_table(spark, 81), str(tmp_path))
+    assert len(list(tmp_path.iterdir())) == 2
