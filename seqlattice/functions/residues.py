@@ -58,17 +58,21 @@ def gapped(seq: Column, script: Column, side: str) -> Column:
     return _spread(seq, F.regexp_extract_all(script, F.lit("B+|X+|Y+"), F.lit(0)), 1, lambda run: F.substring(run, 1, 1).isin("B", side))
 
 
-def translated(dna: Column, genetic_code: int = 0) -> Column:
-    """The protein of a coding sequence; codons with a sign other than A, C, G, T, U, and an incomplete last one, give X."""
-    table = GENETIC_CODES[genetic_code]
+def translated(dna: Column, genetic_code: int | Column = 0) -> Column:
+    """The protein of a coding sequence; codons with a sign other than A, C, G, T, U, and an incomplete last one, give X.
+
+    ``genetic_code`` is the number of one code, or a column of such, one for each sequence; one beyond the codes gives null.
+    """
+    table = F.lit(GENETIC_CODES[genetic_code]) if isinstance(genetic_code, int) else F.get(F.array(*map(F.lit, GENETIC_CODES)), genetic_code)
     codons = F.regexp_extract_all(F.translate(F.upper(dna), "UTCAG", "00123"), F.lit("(?s).{1,3}"), F.lit(0))
 
     def residue(codon: Column) -> Column:
         place = [F.instr(F.lit("0123"), F.substring(codon, k, 1)) - 1 for k in (1, 2, 3)]
         whole = (F.length(codon) == 3) & (F.least(*place) >= 0)
-        return F.when(whole, F.substring(F.lit(table), place[0] * 16 + place[1] * 4 + place[2] + 1, F.lit(1))).otherwise("X")
+        return F.when(whole, F.substring(table, place[0] * 16 + place[1] * 4 + place[2] + 1, F.lit(1))).otherwise("X")
 
-    return F.array_join(F.transform(codons, residue), "")
+    joined = F.array_join(F.transform(codons, residue), "")
+    return joined if isinstance(genetic_code, int) else F.when(table.isNotNull(), joined)
 
 
 def back_mapped(row: Column, dna: Column) -> Column:

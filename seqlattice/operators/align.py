@@ -210,9 +210,10 @@ def seeded_pairs(queries: DataFrame, database: DataFrame, seed: int = 6, least:
     return found.join(own, "seed").filter("query <> subject").groupBy("query", "subject").agg(F.count(F.lit(1)).alias("n_seeds")).filter(F.col("n_seeds") >= least)
 
 
-def every_pair(queries: DataFrame, database: DataFrame) -> DataFrame:
+def every_pair(queries: DataFrame, database: DataFrame, itself: bool = False) -> DataFrame:
     """(query, subject, name_q, name_s, seq_i, seq_j): every query (id, name, seq) with every other record (id, name, seq).
 
+    With ``itself`` a record is compared with itself too.
     The product is made in tasks of a block of queries by a block of records; nothing is broadcast, and pairs are not stored.
     """
     one = queries.select(F.col("id").alias("query"), F.col("name").alias("name_q"), F.col("seq").alias("seq_i"))
@@ -220,7 +221,7 @@ def every_pair(queries: DataFrame, database: DataFrame) -> DataFrame:
     n, m = one.count(), two.count()
     one = one.repartition(max(1, -(-n // _QUERIES)))
     two = two.repartition(max(1, -(-m // _RECORDS), 4 * queries.sparkSession.sparkContext.defaultParallelism))
-    return one.hint("shuffle_replicate_nl").join(two, F.col("query") != F.col("subject"))
+    return one.hint("shuffle_replicate_nl").join(two, F.lit(True) if itself else F.col("query") != F.col("subject"))
 
 
 def compared(pairs: DataFrame, scoring: Scoring, nearest: bool = False) -> DataFrame:

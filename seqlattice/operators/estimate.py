@@ -134,8 +134,8 @@ def log_odds(pairs: DataFrame) -> DataFrame:
     pure = symmetric_pairs(pairs.filter((F.col("a") < PURE) & (F.col("b") < PURE)))
     grid = pairs.sparkSession.range(PURE * PURE).select(F.expr(f"cast(id div {PURE} as int)").alias("a"), F.expr(f"cast(id % {PURE} as int)").alias("b"))
     pure = grid.join(pure, ["a", "b"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    total = F.sum("w").over(Window.partitionBy())
-    p = pure.withColumn("p", F.coalesce(F.try_divide("w", total), F.lit(0.0)))  # 400 rows
+    total = pure.groupBy(F.lit(0).alias("_k")).agg(F.sum("w").alias("_all"))
+    p = pure.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").withColumn("p", F.coalesce(F.try_divide("w", "_all"), F.lit(0.0)))  # one row is broadcast
     p = p.withColumn("p_a", F.sum("p").over(Window.partitionBy("a"))).withColumn("p_b", F.sum("p").over(Window.partitionBy("b")))
     odds = F.coalesce(F.try_divide("p", F.col("p_a") * F.col("p_b")), F.lit(0.0))
     return p.withColumn("odds", odds).withColumn("score", F.when(odds < 1e-9, -20.0).otherwise(F.log2(odds))).select("a", "b", "p", "odds", "score")
@@ -185,4 +185,5 @@ def residue_shares(rows: DataFrame) -> DataFrame:
     letters = rows.select(F.explode(F.split("row", "")).alias("letter"))
     counts = letters.groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
     coded = counts.select(code(F.col("letter")).alias("a"), "n").filter(F.col("a") < PURE)
-    return coded.withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy()))  # at most 20 rows
+    total = coded.groupBy(F.lit(0).alias("_k")).agg(F.sum("n").alias("_all"))
+    return coded.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").select("a", "n", (F.col("n") / F.col("_all")).alias("f"))  # one row is broadcast

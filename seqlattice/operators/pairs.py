@@ -24,16 +24,25 @@ def alignment_rows(spark: SparkSession, folder: str) -> DataFrame:
     return once.select("seq_id", "_last.aln_id", "_last.seq_idx", "_last.a_name", "_last.raw", aligned(F.col("_last.raw")).alias("row")).filter("row <> ''")
 
 
+#: Members of an alignment up to which its pairs are one key of the join.
+_BLOCK = 256
+
+
 def all_pairs(rows: DataFrame, *columns: str, limit: int | None = None) -> DataFrame:
-    """(aln_id, i, j, and columns with _i and _j): all pairs i < j of an alignment, by an equi-join on aln_id.
+    """(aln_id, i, j, and columns with _i and _j): all pairs i < j of an alignment, by an equi-join.
 
-    ``limit`` keeps only sequences with a place below it. Rows without aln_id pair with none.
+    The join is on aln_id and a block of each side, so that the pairs of a large alignment are spread over many tasks, with no
+    more than about ``_BLOCK`` squared at one key; a row goes to as many keys as its alignment has blocks, which is one
+    for most. ``limit`` keeps only sequences with a place below it. Rows without aln_id pair with none.
     """
     if limit is not None:
         rows = rows.filter(F.col("seq_idx") < limit)
-    one = rows.select("aln_id", F.col("seq_idx").alias("i"), *(F.col(c).alias(f"{c}_i") for c in columns))
-    two = rows.select("aln_id", F.col("seq_idx").alias("j"), *(F.col(c).alias(f"{c}_j") for c in columns))
-    return one.join(two, "aln_id").filter("i < j")
+    blocks = rows.filter("aln_id is not null").groupBy("aln_id").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("_n"))
+    rows = rows.join(blocks, "aln_id").withColumn("_own", F.pmod(F.xxhash64("seq_idx"), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    one = rows.select("aln_id", F.col("_own").alias("_i"), every.alias("_j"), F.col("seq_idx").alias("i"), *(F.col(c).alias(f"{c}_i") for c in columns))
+    two = rows.select("aln_id", every.alias("_i"), F.col("_own").alias("_j"), F.col("seq_idx").alias("j"), *(F.col(c).alias(f"{c}_j") for c in columns))
+    return one.join(two, ["aln_id", "_i", "_j"]).filter("i < j").drop("_i", "_j")
 
 
 def by_alignment(rows: DataFrame, order: list[str], of: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:

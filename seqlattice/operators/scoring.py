@@ -20,7 +20,7 @@ class AlignConfig:
     transition quantity in a step; gamma: share of a second metric in the first. posterior: share of the posterior in
     profiles. beta, beta_tq: Boltzmann weights of scores and transition quantities. refinements, consistency: repeats.
     mode: how scores become distances, 0 by range to [0, 1], 1 by slope only, 2 by sign only. keep_order: rows in the order
-    of merging. genetic_codes: one for all, or one per sequence.
+    of merging.
     """
 
     gap_open: float = -11.0
@@ -36,7 +36,6 @@ class AlignConfig:
     consistency: int = 2
     mode: int = 0
     keep_order: bool = False
-    genetic_codes: tuple[int, ...] = (0,)
     scale: int = 1000
 
 

@@ -10,7 +10,7 @@ from seqlattice.operators import align, consistency, curate, distance, estimate,
 from seqlattice.operators.pairs import alignment_rows, all_pairs
 from seqlattice.operators.scoring import AlignConfig, Scoring, collected
 from seqlattice.plans import relational
-from seqlattice.plans.relational import PAIRS, _pairs, _transitions, estimated_matrix, estimated_odds
+from seqlattice.plans.relational import _IDENTITY, PAIRS, ROWS, _pairs, estimated_odds
 from seqlattice.workspace import stored
 
 
@@ -25,12 +25,10 @@ def _sequence_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def estimated_scoring(spark: SparkSession, folder: str, transitions: bool = True, config: AlignConfig = AlignConfig()) -> Scoring:
     """Scores, in whole numbers by the scale of their entropy, and, with ``transitions``, transition quantities as counted in ``sequences``."""
-    quantities = None
-    if transitions:
-        sym = estimate.symmetric_transitions(estimate.without_gaps(_transitions(spark, folder)))
-        quantities = estimate.transition_quantity(estimate.transition_probabilities(sym))
-    scale = estimate.relative_entropy_scale(estimated_odds(spark, folder)).first()["scale"]
-    scores = estimated_matrix(spark, folder).withColumn("score", F.round(F.col("score") * scale))
+    quantities = relational.estimated_quantities(spark, folder) if transitions else None
+    odds = stored(estimated_odds(spark, folder), "odds")
+    scale = estimate.relative_entropy_scale(odds).first()["scale"]
+    scores = estimate.with_ambiguous(odds, estimate.residue_shares(alignment_rows(spark, folder))).withColumn("score", F.round(F.col("score") * scale))
     return collected(scores, quantities, config)
 
 
@@ -80,11 +78,54 @@ def _leaf_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upgma_merges(spark: SparkSession, folder: str) -> DataFrame:
-    return tree.trees(_tree_distances(spark, folder))
+    return tree.trees(_tree_distances(spark, folder)).withColumn("height", F.round("height", 6))
 
 
 def leaf_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return _leaf_weights(spark, folder)
+    return _leaf_weights(spark, folder).withColumn("w", F.round("w", 6))
+
+
+def _unlike(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Matches of the reference alignments, at 1 if equal and at a half else; and members weighted by their residues, in hundreds."""
+    profile = aligned_pairs(spark, folder).select("aln_id", "i", "j", "r", "c", F.when(F.col("same"), 1.0).otherwise(0.5).alias("p"))
+    return profile, alignment_rows(spark, folder).select("aln_id", "seq_idx", "row", (F.length(F.replace("row", F.lit("-"), F.lit(""))) / 100).alias("w"))
+
+
+def consistency_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """One consistency transform of a profile of unlike cells by unlike weights."""
+    profile, weights = _unlike(spark, folder)
+    done = consistency.consistency_step(stored(profile, "matches"), weights.select("aln_id", "seq_idx", "w"))
+    return done.select("aln_id", "i", "j", "r", "c", F.round("p", 6).alias("p"))
+
+
+def profile_merge_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """A profile of unlike cells summed, by unlike weights, to the residues of each alignment's first sequence and the columns of all others."""
+    profile, rows = _unlike(spark, folder)
+    first = rows.groupBy("aln_id").agg(F.min(F.struct("seq_idx", "row", "w")).alias("_f")).select("aln_id", "_f.*")
+    others = rows.join(first.select("aln_id", "seq_idx"), ["aln_id", "seq_idx"], "left_anti")
+    merged = align.profile_merged(profile, first.withColumn("row", R.residues(F.col("row"))), others)
+    return merged.select("aln_id", "x", "y", F.round("p", 6).alias("p"))
+
+
+def path_residues(spark: SparkSession, folder: str) -> DataFrame:
+    """What the rows of every pair's path alignment hold besides gaps, and whether both are of one length."""
+    pairs = stored(_sequence_pairs(spark, folder), "pairs")
+    rows = align.gapped_rows(align.path_alignments(pairs, estimated_scoring(spark, folder)).join(pairs, ["aln_id", "i", "j"]))
+    return rows.select("aln_id", "i", "j", R.residues(F.col("row_i")).alias("seq_i"), R.residues(F.col("row_j")).alias("seq_j"), (F.length("row_i") == F.length("row_j")).alias("one_length"))
+
+
+def posterior_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the posteriors of each residue add up to no more than 1, for each side of every pair that has any."""
+    cells = stored(align.posterior_profile(_sequence_pairs(spark, folder), estimated_scoring(spark, folder)), "posterior")
+    side = lambda name, residue: cells.groupBy("aln_id", "i", "j", residue).agg(F.sum("p").alias("s")).groupBy("aln_id", "i", "j").agg((F.max("s") <= 1 + 1e-9).alias(name))
+    return side("holds_i", "r").join(side("holds_j", "c"), ["aln_id", "i", "j"])
+
+
+def multiple_alignment_residues(spark: SparkSession, folder: str) -> DataFrame:
+    """What the rows of every new alignment hold besides gaps, and whether all rows of an alignment are of one length."""
+    rows = stored(multiple_alignment(spark, folder), "aligned")
+    whole = rows.groupBy("aln_id").agg((F.min(F.length("row")) == F.max(F.length("row"))).alias("one_length"))
+    return rows.join(whole, "aln_id").select("aln_id", "seq_idx", R.residues(F.col("row")).alias("seq"), "one_length")
 
 
 def profile_merge_sum(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,14 +202,44 @@ def multiple_alignment_cds(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "path_distance": path_distance, "path_profile": path_profile, "posterior_profile": posterior_profile, "blended_profile": blended_profile, "aligned_pairs": aligned_pairs, "consistency_step": consistency_step,
     "upgma_merges": upgma_merges, "leaf_weights": leaf_weights, "profile_merge_sum": profile_merge_sum, "primary_library": primary_library, "search_hits": search_hits, "nearest_subject": nearest_subject, "family_estimate": family_estimate,
-    "multiple_alignment": multiple_alignment, "multiple_alignment_cds": multiple_alignment_cds,
+    "multiple_alignment": multiple_alignment, "multiple_alignment_cds": multiple_alignment_cds, "consistency_weighted": consistency_weighted, "profile_merge_weighted": profile_merge_weighted,
+    "path_residues": path_residues, "posterior_bounds": posterior_bounds, "multiple_alignment_residues": multiple_alignment_residues,
 }
 
 _MATCHES = PAIRS + """,
 z AS (SELECT aln_id, i, j, c AS k, substr(ri, c, 1) AS x, substr(rj, c, 1) AS y FROM (SELECT *, unnest(range(1, least(length(ri), length(rj)) + 1)) AS c FROM pairs)),
 m0 AS (SELECT aln_id, i, j, k, x, y, count(*) FILTER (WHERE x <> '-') OVER s AS r, count(*) FILTER (WHERE y <> '-') OVER s AS c FROM z WINDOW s AS (PARTITION BY aln_id, i, j ORDER BY k ROWS UNBOUNDED PRECEDING)),
 m AS (SELECT aln_id, i, j, k, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, x = y AS same FROM m0 WHERE x <> '-' AND y <> '-')"""
+_UNLIKE = f"""{_MATCHES}, wt AS (SELECT aln_id, seq_idx, arow, length(replace(arow, '-', '')) / 100 AS w FROM rows_), mp AS (SELECT aln_id, i, j, k, r, c, CASE WHEN same THEN 1.0 ELSE 0.5 END AS p FROM m)"""
+#: Average linkage, a merge a step: the distances of i < j lie in one list, those of places that are gone are infinite.
+_TREES = f"""{_IDENTITY}, dist AS (SELECT aln_id, i, j, 1 - lid AS d FROM stat), ids AS (SELECT aln_id, i AS x FROM dist UNION SELECT aln_id, j FROM dist),
+grid AS (SELECT a.aln_id, list(coalesce(d, 'inf'::DOUBLE) ORDER BY a.x, b.x) AS d FROM ids a JOIN ids b ON a.aln_id = b.aln_id LEFT JOIN dist ON dist.aln_id = a.aln_id AND i = a.x AND j = b.x GROUP BY a.aln_id),
+named AS (SELECT aln_id, count(*) AS n, list(x ORDER BY x) AS x FROM ids GROUP BY aln_id),
+t AS (SELECT grid.aln_id, n, -1 AS step, d, range(n) AS node, list_transform(range(n), lambda k: 1) AS leaves, list_transform(range(n), lambda k: CAST(k AS VARCHAR)) AS newick,
+    list_transform(range(n), lambda k: CAST(k AS VARCHAR)) AS rpn, list_transform(x, lambda k: [k]) AS members, 0 AS i, 0 AS j, CAST(0 AS BIGINT) AS l, CAST(0 AS BIGINT) AS r, CAST(0 AS DOUBLE) AS height, 0 AS nl, 0 AS nr, [0] AS ml, [0] AS mr
+  FROM grid JOIN named ON grid.aln_id = named.aln_id
+  UNION ALL SELECT aln_id, n, step + 1, list_transform(range(n * n), lambda q: CASE WHEN q // n >= q % n OR q // n = b OR q % n = b THEN 'inf'::DOUBLE
+      WHEN q // n = a OR q % n = a THEN (d[1 + least(a, q // n + q % n - a) * n + greatest(a, q // n + q % n - a)] * leaves[a + 1] + d[1 + least(b, q // n + q % n - a) * n + greatest(b, q // n + q % n - a)] * leaves[b + 1]) / (leaves[a + 1] + leaves[b + 1])
+      ELSE d[q + 1] END),
+    list_transform(range(n), lambda k: CASE WHEN k = a THEN n + step + 1 ELSE node[k + 1] END), list_transform(range(n), lambda k: CASE WHEN k = a THEN leaves[a + 1] + leaves[b + 1] ELSE leaves[k + 1] END),
+    list_transform(range(n), lambda k: CASE WHEN k = a THEN '(' || newick[a + 1] || ',' || newick[b + 1] || ')' ELSE newick[k + 1] END), list_transform(range(n), lambda k: CASE WHEN k = a THEN rpn[a + 1] || ' ' || rpn[b + 1] || ' -1' ELSE rpn[k + 1] END),
+    list_transform(range(n), lambda k: CASE WHEN k = a THEN list_concat(members[a + 1], members[b + 1]) ELSE members[k + 1] END),
+    a, b, node[a + 1], node[b + 1], m, leaves[a + 1], leaves[b + 1], members[a + 1], members[b + 1]
+  FROM (SELECT *, CAST((list_position(d, m) - 1) // n AS INTEGER) AS a, CAST((list_position(d, m) - 1) % n AS INTEGER) AS b FROM (SELECT *, list_min(d) AS m FROM t WHERE step < n - 2)))"""
 SQL = {
+    "upgma_merges": f"""WITH RECURSIVE {_TREES} SELECT aln_id, step, CAST(l AS INTEGER) AS "left", CAST(r AS INTEGER) AS "right", round(height, 6) AS height, nl + nr AS n_leaves,
+CASE WHEN step = n - 2 THEN newick[i + 1] END AS newick, CASE WHEN step = n - 2 THEN rpn[i + 1] END AS rpn FROM t WHERE step >= 0""",
+    "leaf_weights": f"""WITH RECURSIVE {_TREES} SELECT aln_id, seq_idx, round(sum(s), 6) AS w FROM (SELECT aln_id, unnest(ml) AS seq_idx, height / 2 / nl AS s FROM t WHERE step >= 0
+UNION ALL SELECT aln_id, unnest(mr), height / 2 / nr FROM t WHERE step >= 0) GROUP BY aln_id, seq_idx""",
+    "consistency_weighted": f"""WITH {_UNLIKE}, s AS (SELECT aln_id, sum(w) AS s FROM wt GROUP BY aln_id), b AS (SELECT aln_id, i, j, r, c, p FROM mp UNION ALL SELECT aln_id, j, i, c, r, p FROM mp),
+o AS (SELECT x.aln_id, x.i, y.j, x.r, y.c, sum(x.p * y.p * w) AS s FROM b x JOIN b y ON x.aln_id = y.aln_id AND x.j = y.i AND x.c = y.r JOIN wt ON wt.aln_id = x.aln_id AND wt.seq_idx = x.j WHERE x.i < y.j GROUP BY ALL),
+f AS (SELECT mp.aln_id, mp.i, mp.j, mp.r, mp.c, (p * (wi.w + wj.w) + coalesce(o.s, 0)) / s.s AS p FROM mp JOIN s ON s.aln_id = mp.aln_id JOIN wt wi ON wi.aln_id = mp.aln_id AND wi.seq_idx = mp.i JOIN wt wj ON wj.aln_id = mp.aln_id AND wj.seq_idx = mp.j
+  LEFT JOIN o ON o.aln_id = mp.aln_id AND o.i = mp.i AND o.j = mp.j AND o.r = mp.r AND o.c = mp.c) SELECT aln_id, i, j, r, c, round(p, 6) AS p FROM f WHERE p >= 0.01""",
+    "profile_merge_weighted": f"""WITH {_UNLIKE}, f AS (SELECT aln_id, min(seq_idx) AS f FROM wt GROUP BY aln_id), s AS (SELECT wt.aln_id, sum(w) AS s FROM wt JOIN f ON f.aln_id = wt.aln_id AND seq_idx <> f GROUP BY wt.aln_id)
+SELECT mp.aln_id, r AS x, CAST(k AS INTEGER) AS y, round(sum(p * w) / max(s), 6) AS p FROM mp JOIN f ON mp.aln_id = f.aln_id AND mp.i = f.f JOIN wt ON wt.aln_id = mp.aln_id AND wt.seq_idx = mp.j JOIN s ON s.aln_id = mp.aln_id GROUP BY mp.aln_id, r, k""",
+    "path_residues": f"WITH {PAIRS} SELECT aln_id, i, j, replace(ri, '-', '') AS seq_i, replace(rj, '-', '') AS seq_j, true AS one_length FROM pairs",
+    "posterior_bounds": f"WITH {PAIRS} SELECT aln_id, i, j, true AS holds_i, true AS holds_j FROM pairs WHERE replace(ri, '-', '') <> '' AND replace(rj, '-', '') <> ''",
+    "multiple_alignment_residues": f"WITH {ROWS} SELECT aln_id, seq_idx, replace(arow, '-', '') AS seq, true AS one_length FROM rows_ WHERE aln_id IS NOT NULL",
     "consistency_step": f"""WITH {_MATCHES}, n AS (SELECT aln_id, count(*) AS n FROM rows_ GROUP BY aln_id), b AS (SELECT aln_id, i, j, r, c FROM m UNION ALL SELECT aln_id, j, i, c, r FROM m),
 o AS (SELECT x.aln_id, x.i, y.j, x.r, y.c, count(*) AS s FROM b x JOIN b y ON x.aln_id = y.aln_id AND x.j = y.i AND x.c = y.r WHERE x.i < y.j GROUP BY ALL)
 SELECT m.aln_id, m.i, m.j, m.r, m.c, round((2 + coalesce(s, 0)) / n, 6) AS p FROM m JOIN n ON n.aln_id = m.aln_id

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlattice.functions import residues as R
@@ -13,44 +18,73 @@ from seqlattice.sources import fasta, matrix
 from seqlattice.workspace import stored
 
 
-def sequences_of(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(aln_id, seq_idx, name, raw, row, seq) of FASTA files; the file is the alignment, seq_idx counts from 0.
+_log = logging.getLogger("seqlattice")
+
+
+@contextmanager
+def _phase(name: str) -> Iterator[None]:
+    """Tells, in the log, how many seconds a phase of a job took."""
+    began = time.monotonic()
+    yield
+    _log.info("%s: %.1f s", name, time.monotonic() - began)
+
+
+def sequences_of(spark: SparkSession, paths: list[str], form: str = "fasta") -> DataFrame:
+    """(aln_id, seq_idx, name, raw, row, seq) of sequence files; the file is the alignment, seq_idx counts from 0.
 
     Sequences with a sign that the alphabet lacks are an error, which names the first of them.
     """
-    rows = fasta.read(spark, *paths).select(F.col("path").alias("aln_id"), (F.col("record_no") - 1).alias("seq_idx"), "name", F.col("seq").alias("raw"))
+    rows = fasta.read(spark, *paths, form=form)
+    if form == "colon":  # numbered by lines
+        rows = rows.withColumn("record_no", F.row_number().over(Window.partitionBy("path").orderBy("record_no")))
+    rows = rows.select(F.col("path").alias("aln_id"), (F.col("record_no") - 1).alias("seq_idx"), "name", F.col("seq").alias("raw"))
     wrong = rows.withColumn("symbols", R.illegal_symbols(F.col("raw"))).filter("symbols <> ''").orderBy("aln_id", "seq_idx").first()
     if wrong:
         raise ValueError(f"{wrong.aln_id}: sequence {wrong.seq_idx + 1} has the symbol {wrong.symbols[0]!r}")
     return rows.select("*", R.aligned(F.col("raw")).alias("row"), R.residues(F.col("raw")).alias("seq"))
 
 
-def scoring_of(spark: SparkSession, scores: str, transitions: str | None, config: AlignConfig) -> Scoring:
-    """Scores of a matrix file (``CID`` is the built-in identity) and transition quantities of a table file, if one is named."""
+def scoring_of(spark: SparkSession, scores: str, transitions: str | None, config: AlignConfig, average: bool = False) -> Scoring:
+    """Scores of a matrix file (``CID`` is the built-in identity) and transition quantities of a table file, if one is named.
+
+    With ``average``, B, Z and X score as the means of what they stand for.
+    """
     table = matrix.identity(spark) if scores == "CID" else matrix.read_matrix(spark, scores)
+    table = matrix.average_ambiguous(table) if average else table
     return collected(table, matrix.parse_transitions(matrix.lines_of(spark, transitions)) if transitions else None, config)
 
 
-def align_files(spark: SparkSession, paths: list[str], out: str, scoring: Scoring, coding: int | None = None) -> None:
-    """Aligns the sequences of every file; with ``coding``, a genetic code, they are DNA that is aligned as protein."""
-    rows = sequences_of(spark, paths)
-    if coding is not None:
-        rows = stored(rows.withColumn("dna", F.col("seq")).withColumn("seq", R.translated(F.col("dna"), coding)), "coding")
-    done = msa.multiple_alignment(rows, all_pairs(rows, "seq"), scoring)
+def align_files(spark: SparkSession, paths: list[str], out: str, scoring: Scoring, coding: tuple[int, ...] | None = None, form: str = "fasta") -> None:
+    """Aligns the sequences of every file; with ``coding`` they are DNA that is aligned as protein.
+
+    ``coding`` is one genetic code for all sequences, or one for each sequence of a file, by its place.
+    """
+    with _phase("sequences"):
+        rows = stored(sequences_of(spark, paths, form), "sequences")
+        if coding is not None:
+            if len(coding) > 1:
+                wrong = rows.groupBy("aln_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != len(coding)).orderBy("aln_id").first()
+                if wrong:
+                    raise ValueError(f"{wrong.aln_id} has {wrong.n} sequences for {len(coding)} genetic codes")
+            number = F.get(F.array(*map(F.lit, coding)), F.col("seq_idx") if len(coding) > 1 else F.lit(0))
+            rows = stored(rows.withColumn("dna", F.col("seq")).withColumn("seq", R.translated(F.col("dna"), number)), "coding")
+    with _phase("profiles, trees and merging"):
+        done = stored(msa.multiple_alignment(rows, all_pairs(rows, "seq"), scoring), "aligned")
     joined = done.join(rows.drop("row", "seq"), ["aln_id", "seq_idx"])
     seq = F.col("row") if coding is None else R.back_mapped(F.col("row"), F.col("dna"))
     place = F.col("place") if scoring.config.keep_order else F.col("seq_idx")
-    fasta.write(joined.select("aln_id", place.alias("seq_idx"), "name", seq.alias("seq")), out)
+    with _phase("writing"):
+        fasta.write(joined.select("aln_id", place.alias("seq_idx"), "name", seq.alias("seq")), out)
 
 
-def count_files(spark: SparkSession, paths: list[str], out: str, frequency: DataFrame | None = None, modes: str = "01") -> None:
+def count_files(spark: SparkSession, paths: list[str], out: str, frequency: DataFrame | None = None, modes: str = "01", form: str = "fasta") -> None:
     """Matrix and transition table of reference alignments, written as ``out``/matrix and ``out``/transitions.
 
     modes: 1 skips columns of two gaps, 2 drops transitions with a gap, 3 takes q = 1 - p over the largest p of a start, 5
     scales q by the largest of all, 4 leaves out lower case, f keeps both directions of a transition apart, n takes all
     pairs, with or without an equal residue.
     """
-    rows = sequences_of(spark, paths)
+    rows = sequences_of(spark, paths, form)
     if "4" in modes:
         rows = rows.withColumn("row", R.aligned(R.without_lower_case(F.col("raw"))))
     pairs = all_pairs(rows.withColumnRenamed("name", "a_name"), "row", "a_name")
@@ -72,9 +106,9 @@ def count_files(spark: SparkSession, paths: list[str], out: str, frequency: Data
     matrix.transitions_text(full, total).sort("no").select(F.col("line").alias("value")).write.mode("overwrite").text(f"{out}/transitions")
 
 
-def library_files(spark: SparkSession, paths: list[str], out: str, scoring: Scoring, measure: str = "gid", limit: int | None = None) -> None:
+def library_files(spark: SparkSession, paths: list[str], out: str, scoring: Scoring, measure: str = "gid", limit: int | None = None, form: str = "fasta") -> None:
     """A pair library for each file, weighted by one of the distances of aligned pairs."""
-    rows = sequences_of(spark, paths)
+    rows = sequences_of(spark, paths, form)
     rows = rows if limit is None else rows.filter(F.col("seq_idx") < limit)
     pairs = all_pairs(rows, "seq")
     found = stored(align.path_alignments(pairs, scoring), "paths")
@@ -83,19 +117,28 @@ def library_files(spark: SparkSession, paths: list[str], out: str, scoring: Scor
     align.write_library(align.library_lines(rows.select("aln_id", "seq_idx", "name", "seq"), found, weights), out)
 
 
-def search_files(spark: SparkSession, queries: list[str], database: list[str], out: str, scoring: Scoring, every: bool = False) -> None:
+def search_files(spark: SparkSession, queries: list[str], database: list[str], out: str, scoring: Scoring, every: bool = False, limit: int | None = None) -> None:
     """Hits of query sequences in database sequences as CSV: names, distance, aligned rows.
 
     With ``every``, all queries are compared with all records, else those with seeds in common, which misses many related ones.
+    Without ``queries``, all records of the database are compared with all, each with itself too. ``limit`` keeps so many of the
+    nearest hits of each query.
     """
 
+    def kept(hits: DataFrame, query: str, subject: str) -> DataFrame:
+        if limit is None:
+            return hits
+        near = Window.partitionBy(query).orderBy("eer2", subject)
+        return hits.withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= limit).drop("_n")
+
     def keyed(paths: list[str]) -> DataFrame:
         rows = sequences_of(spark, paths).filter("seq <> ''")
         return stored(rows.select(F.xxhash64("aln_id", "seq_idx").alias("id"), "name", "seq"), "records")
 
-    one, two = keyed(queries), keyed(database)
-    if every:
-        hits = align.compared(align.every_pair(one, two), scoring)
+    two = keyed(database)
+    one = keyed(queries) if queries else two
+    if every or not queries:
+        hits = kept(align.compared(align.every_pair(one, two, not queries), scoring), "query", "subject")
         hits.select(F.col("name_q").alias("query_name"), F.col("name_s").alias("subject_name"), "eer2", "row_i", "row_j").write.mode("overwrite").csv(out, header=True)
         return
     found = align.seeded_pairs(one, two)
@@ -103,5 +146,5 @@ def search_files(spark: SparkSession, queries: list[str], database: list[str], o
     pairs = pairs.join(two.select(F.col("id").alias("subject"), F.col("name").alias("subject_name"), F.col("seq").alias("seq_j")), "subject")
     pairs = stored(pairs.withColumns({"aln_id": F.concat_ws(" ", "query", "subject"), "i": F.lit(0), "j": F.lit(1)}), "candidates")
     rows = stored(align.gapped_rows(align.path_alignments(pairs, scoring).join(pairs, ["aln_id", "i", "j"])), "aligned")
-    scored = rows.join(distance.pair_statistics(rows).select("aln_id", "eer2"), "aln_id")
+    scored = kept(rows.join(distance.pair_statistics(rows).select("aln_id", "eer2"), "aln_id"), "query", "subject")
     scored.select("query_name", "subject_name", "eer2", "row_i", "row_j").write.mode("overwrite").csv(out, header=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlattice.functions import residues as R
-from seqlattice.functions.alphabet import ALPHABET, code
+from seqlattice.functions.alphabet import ALPHABET, GENETIC_CODES, code
 from seqlattice.operators import curate, distance, estimate, family, scoring
 from seqlattice.operators.pairs import alignment_rows, all_pairs
 from seqlattice.sources import matrix
@@ -203,11 +203,43 @@ def boltzmann_table(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("a1", "b1", "a2", "b2", F.round("boltzmann", 6).alias("boltzmann"))
 
 
+def matrix_normalise_modes(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores as distances by slope alone and by sign alone, and by range with three tenths of the second mixed in."""
+    scores = estimated_matrix(spark, folder)
+    one, two = (scoring.normalised(scores, scoring.AlignConfig(mode=mode)) for mode in (1, 2))
+    mixed = scoring.normalised(scores, scoring.AlignConfig(gamma=0.3), two)
+    cells = one.withColumnRenamed("d", "by_slope").join(two.withColumnRenamed("d", "by_sign"), ["a", "b"]).join(mixed.withColumnRenamed("d", "mixed"), ["a", "b"])
+    return cells.select("a", "b", *(F.round(c, 6).alias(c) for c in ("by_slope", "by_sign", "mixed")))
+
+
+def estimated_quantities(spark: SparkSession, folder: str) -> DataFrame:
+    """(a1, b1, a2, b2, q): transition quantities of the alignments in ``sequences``."""
+    sym = estimate.symmetric_transitions(estimate.without_gaps(_transitions(spark, folder)))
+    return estimate.transition_quantity(estimate.transition_probabilities(sym))
+
+
+def step_costs_tq(spark: SparkSession, folder: str) -> DataFrame:
+    """Costs and weights of every step from a pair to a pair, by scores and transition quantities of the data."""
+    got = scoring.step_costs(estimated_matrix(spark, folder), estimated_quantities(spark, folder), scoring.AlignConfig())
+    return got.select("a1", "b1", "a2", "b2", F.round("cost", 6).alias("cost"), F.round("boltzmann", 6).alias("boltzmann"))
+
+
 def cds_translate(spark: SparkSession, folder: str) -> DataFrame:
     """Proteins of coding sequences; the coding sequences are the records' residues, spelled in codons."""
     return _coding(spark, folder).select("seq_id", R.translated(F.col("dna")).alias("seq"))
 
 
+def cds_translate_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Proteins of coding sequences, each read by the genetic code of its place, the four codes in turn."""
+    rows = _rows(spark, folder).select("seq_id", F.pmod("seq_idx", F.lit(4)).alias("code_no"), curate.coding_sequence(F.regexp_replace("row", "-", "")).alias("dna"))
+    return rows.select("seq_id", "code_no", R.translated(F.col("dna"), F.col("code_no")).alias("seq"))
+
+
+def matrix_average_bzx(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimated matrix with plain means for B, Z and X."""
+    return matrix.average_ambiguous(estimated_matrix(spark, folder)).select("a", "b", F.round("score", 6).alias("score"))
+
+
 def cds_backmap(spark: SparkSession, folder: str) -> DataFrame:
     return _coding(spark, folder).select("seq_id", R.back_mapped(F.col("row"), F.col("dna")).alias("dna_row"))
 
@@ -285,10 +317,20 @@ QUERIES = {
     "pair_counts": pair_counts, "transition_counts": transition_counts, "transition_prob": transition_prob, "tq_local": _quantity("local"), "tq_global": _quantity("global"), "tq_direct": _quantity("direct"), "tq_bzx": tq_bzx,
     "symmetrise_pairs": symmetrise_pairs, "symmetrise_transitions": symmetrise_transitions, "log_odds_matrix": log_odds_matrix, "relative_entropy_scale": relative_entropy_scale, "log_odds_bzx": log_odds_bzx,
     "matrix_round_trip": matrix_round_trip, "matrix_normalise": matrix_normalise, "step_cost_table": step_cost_table, "boltzmann_table": boltzmann_table,
-    "cds_translate": cds_translate, "cds_backmap": cds_backmap, "header_sccs": header_sccs, "astral_slices": astral_slices, "name_frequency": name_frequency, "count_sequences": count_sequences,
+    "matrix_normalise_modes": matrix_normalise_modes, "step_costs_tq": step_costs_tq,
+    "cds_translate": cds_translate, "cds_translate_codes": cds_translate_codes, "matrix_average_bzx": matrix_average_bzx, "cds_backmap": cds_backmap, "header_sccs": header_sccs, "astral_slices": astral_slices, "name_frequency": name_frequency, "count_sequences": count_sequences,
     "split_eq2_gt2": split_eq2_gt2, "train_test_split": train_test_split, "family_vote": family_vote, "family_blacklist": family_blacklist, "group_listings": group_listings,
 }
 
+_READ = "CASE seq_idx % 4 " + " ".join(f"WHEN {k} THEN translate(replace(arow, '-', ''), '{''.join(curate.CODONS)}BZX', '{''.join(t['TCAG'.index(c[0]) * 16 + 'TCAG'.index(c[1]) * 4 + 'TCAG'.index(c[2])] for c in curate.CODONS.values())}XXX')" for k, t in enumerate(GENETIC_CODES)) + " END"
+
+
+def _averaged(before: str, name: str, x: int, members: str, n: int) -> str:
+    """SQL of one step of averaging: a row and a column as means of others, then where they cross."""
+    return f"""{name}m AS (SELECT b, sum(score) / {n} AS score FROM {before} WHERE a IN ({members}) AND b <> {x} GROUP BY b),
+{name} AS (SELECT a, b, score FROM {before} WHERE a <> {x} AND b <> {x} UNION ALL SELECT {x}, b, score FROM {name}m UNION ALL SELECT b, {x}, score FROM {name}m UNION ALL SELECT {x}, {x}, sum(score) / {n} FROM {name}m WHERE b IN ({members}))"""
+
+
 _CODON = "CASE x " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in curate.CODONS.items()) + " ELSE 'NNN' END"
 SQL = {
     "fasta_records": """SELECT file_id, CAST(k AS INTEGER) AS record_no, regexp_replace(string_split(part, chr(10))[1], '\\s+$', '') AS name,
@@ -341,7 +383,18 @@ FROM k25 a1, k25 b1, k24 a2, k24 b2 LEFT JOIN metric ON metric.a = a2.k AND metr
 SELECT a1.k AS a1, b1.k AS b1, a2.k AS a2, b2.k AS b2, round(exp(0.2 * CASE WHEN a2.k < 23 AND b2.k < 23 THEN score WHEN a2.k = 23 AND b2.k = 23 THEN 0
   WHEN (a2.k < 23 AND b1.k = 23) OR (b2.k < 23 AND a1.k = 23) THEN -1 ELSE -22 END), 6) AS boltzmann
 FROM k25 a1 CROSS JOIN k25 b1 CROSS JOIN k24 a2 CROSS JOIN k24 b2 LEFT JOIN metric ON metric.a = a2.k AND metric.b = b2.k""",
+    "matrix_normalise_modes": f"WITH {METRIC} SELECT a, b, round(-score / (hi - lo), 6) AS by_slope, round(-score, 6) AS by_sign, round(0.7 * d - 0.3 * score, 6) AS mixed FROM metric, r",
+    "step_costs_tq": f"""WITH {METRIC}{STEPS.removeprefix(CODED)}, t AS (SELECT a1, b1, a2, b2, coalesce(-ln(p) / nullif(max(-ln(p)) OVER (PARTITION BY a1, b1), 0), 0) AS q FROM prob),
+k25 AS (SELECT unnest(range(0, 25)) AS k), k24 AS (SELECT unnest(range(0, 24)) AS k),
+st AS (SELECT a1.k AS a1, b1.k AS b1, a2.k AS a2, b2.k AS b2, CASE WHEN a2.k < 23 AND b2.k < 23 THEN 'match' WHEN a2.k = 23 AND b2.k = 23 THEN 'none' WHEN (a2.k < 23 AND b1.k = 23) OR (b2.k < 23 AND a1.k = 23) THEN 'longer' ELSE 'opened' END AS kind
+  FROM k25 a1 CROSS JOIN k25 b1 CROSS JOIN k24 a2 CROSS JOIN k24 b2),
+full_st AS (SELECT st.*, d, score, o, e, CASE WHEN st.a1 = 24 OR st.b1 = 24 THEN 0 ELSE coalesce(q, 1) END AS q FROM st CROSS JOIN gaps LEFT JOIN metric ON metric.a = st.a2 AND metric.b = st.b2
+  LEFT JOIN t ON t.a1 = st.a1 AND t.b1 = st.b1 AND t.a2 = st.a2 AND t.b2 = st.b2)
+SELECT a1, b1, a2, b2, round(0.225 * CASE kind WHEN 'match' THEN d WHEN 'none' THEN 0 WHEN 'longer' THEN e ELSE o END + 0.775 * q, 6) AS cost,
+  round(exp(0.2 * CASE kind WHEN 'match' THEN score WHEN 'none' THEN 0 WHEN 'longer' THEN -1 ELSE -22 END) * exp(-1.5 * q), 6) AS boltzmann FROM full_st""",
     "cds_translate": f"WITH {ROWS} SELECT seq_id, regexp_replace(replace(arow, '-', ''), '[BZ]', 'X', 'g') AS seq FROM rows_",
+    "cds_translate_codes": f"WITH {ROWS} SELECT seq_id, seq_idx % 4 AS code_no, {_READ} AS seq FROM rows_",
+    "matrix_average_bzx": f"WITH {FULL}, {_averaged('full_', 'b1', 20, '2, 3', 2)}, {_averaged('b1', 'b2', 21, '5, 6', 2)}, {_averaged('b2', 'b3', 22, ', '.join(map(str, range(22))), 22)} SELECT a, b, round(score, 6) AS score FROM b3",
     "cds_backmap": f"WITH {ROWS} SELECT seq_id, array_to_string(list_transform(string_split(arow, ''), lambda x: CASE WHEN x = '-' THEN '---' ELSE {_CODON} END), '') AS dna_row FROM rows_",
     "header_sccs": f"WITH {ROWS} SELECT * FROM (SELECT seq_id, nullif(regexp_extract(a_name || ' ', '([a-z]\\.\\d\\.\\d\\.\\d)\\D', 1), '') AS sccs FROM rows_) WHERE sccs IS NOT NULL",
     "astral_slices": f"WITH {ROWS} SELECT seq_id, substr(a_name, 1, 7) AS name, substr(a_name, 9, 7) AS family FROM rows_ WHERE length(a_name) > 16",

@@ -13,10 +13,10 @@ def parse(files: DataFrame, *keep: str) -> DataFrame:
     return sequences_of(files, *keep)
 
 
-def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, record_no, name, seq) of FASTA files, each read whole by one task."""
+def read(spark: SparkSession, *paths: str, form: str = "fasta") -> DataFrame:
+    """(path, record_no, name, seq) of files of one of ``FORMS``, each read whole by one task."""
     files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return parse(files, "path")
+    return FORMS[form](files, "path")
 
 
 def entry(name: Column, seq: Column, width: int = 60) -> Column:
@@ -68,3 +68,7 @@ def parse_colon_rows(files: DataFrame, *keep: str) -> DataFrame:
     rows = lines.filter(F.instr("_line", ":") > 0).select(*keep, "_k", F.trim(F.substring_index("_line", ":", 1)).alias("name"), F.regexp_replace(F.substring_index("_line", ":", -1), r"\s", "").alias("_s"))
     joined = rows.groupBy(*keep, "name").agg(F.min("_k").alias("record_no"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_s"))), lambda x: x["_s"]), "").alias("seq"))
     return joined.select(*keep, "record_no", "name", "seq")
+
+
+#: The forms of sequence files, by name.
+FORMS = {"fasta": parse, "homstrad": parse_homstrad, "balibase": parse_balibase, "colon": parse_colon_rows}

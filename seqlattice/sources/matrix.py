@@ -96,9 +96,11 @@ def identity(spark: SparkSession) -> DataFrame:
 
 
 def find_file(name: str, folders: list[str]) -> str:
-    """The path of a file: as it is, else in the first of ``folders`` that has it."""
+    """The path of a file in any file system that the session reads: as it is, else in the first of ``folders`` that has it."""
+    spark = SparkSession.builder.getOrCreate()
     for path in (name, *(os.path.join(f, name) for f in folders)):
-        if os.path.exists(path):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
             return path
     raise FileNotFoundError(name)
 
@@ -108,16 +110,16 @@ def average_ambiguous(scores: DataFrame) -> DataFrame:
 
     Rows and columns are filled alike. Missing cells count as 0.
     """
-    spark = scores.sparkSession
+    grid = scores.sparkSession.range(GAP * GAP).select(F.expr(f"cast(id div {GAP} as int)").alias("a"), F.expr(f"cast(id % {GAP} as int)").alias("b"))
+    cells = grid.join(scores.select("a", "b", "score"), ["a", "b"], "left").select("a", "b", F.coalesce("score", F.lit(0.0)).alias("score"))  # 23 by 23
     at = ALPHABET.index
-    square = [[0.0] * GAP for _ in range(GAP)]
-    for a, b, score in scores.select("a", "b", "score").collect():  # at most 23 by 23
-        square[a][b] = score
     for x, members in ((at("B"), [at("D"), at("N")]), (at("Z"), [at("E"), at("Q")]), (at("X"), [k for k in range(GAP) if k != at("X")])):
-        for k in range(GAP):
-            square[x][k] = square[k][x] = sum(square[m][k] for m in members) / len(members)
-        square[x][x] = sum(square[m][x] for m in members) / len(members)
-    return spark.createDataFrame([(a, b, square[a][b]) for a in range(GAP) for b in range(GAP)], "a int, b int, score double")
+        row = cells.filter(F.col("a").isin(members) & (F.col("b") != x)).groupBy("b").agg((F.sum("score") / len(members)).alias("score"))
+        corner = row.filter(F.col("b").isin(members)).agg((F.sum("score") / len(members)).alias("score")).select(F.lit(x).alias("b"), "score")
+        whole = row.unionByName(corner)
+        column = row.select(F.col("b").alias("a"), F.lit(x).alias("b"), "score")
+        cells = cells.filter((F.col("a") != x) & (F.col("b") != x)).unionByName(whole.select(F.lit(x).alias("a"), "b", "score")).unionByName(column)
+    return cells
 
 
 def transitions_text(transitions: DataFrame, total: int) -> DataFrame:

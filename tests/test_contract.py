@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from seqlattice.plans import catalog
+from seqlattice.operators.scoring import AlignConfig
+from seqlattice.plans import alignment, catalog, relational
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -42,6 +43,57 @@ def test_same_as_sql(spark, duck, name):
         assert all(a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 2e-6) for a, b in zip(x, y, strict=True)), (x, y)
 
 
+@pytest.fixture(scope="module")
+def records(duck):
+    return duck.execute(f"WITH {relational.ROWS} SELECT seq_id, aln_id, seq_idx, replace(arow, '-', '') AS seq FROM rows_").df()
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
+def test_what_must_hold_without_sql(spark, records, name):
+    got = catalog.QUERIES[name](spark, FOLDER).toPandas()
+    sizes = {(r.aln_id, r.seq_idx): len(r.seq) for r in records.itertuples()}
+    pairs = {(a, i, j) for a, own in records.groupby("aln_id").seq_idx for i in own for j in own if i < j}
+    if name == "path_distance":
+        assert {(r.aln_id, r.i, r.j) for r in got.itertuples()} == pairs and (got.distance >= 0).all()
+        for r in got.itertuples():
+            assert len(r.script) - r.script.count("Y") == sizes[r.aln_id, r.i] and len(r.script) - r.script.count("X") == sizes[r.aln_id, r.j]
+    elif name in ("path_profile",):
+        assert (got.p == 1).all() and not got.duplicated(["aln_id", "i", "j", "r"]).any() and not got.duplicated(["aln_id", "i", "j", "c"]).any()
+    elif name in ("posterior_profile", "blended_profile"):
+        assert len(got) == sum(1 for a, i, j in pairs if sizes[a, i] and sizes[a, j])
+        assert all(r.sum_p <= min(sizes[r.aln_id, r.i], sizes[r.aln_id, r.j]) + 1e-6 for r in got.itertuples()) and got.max_p.max() <= 1 + 1e-6
+    elif name == "primary_library":
+        assert (got[got.line_no == 0].groupby("aln_id").line.first() == "! TC_LIB_FORMAT_01").all() or set(got.aln_id) == set(records[records.seq != ""].aln_id)
+    elif name in ("search_hits", "nearest_subject"):
+        asked = {x for x in records[records.seq != ""].seq_id if x % 20 == 0}
+        assert set(got["query"]) == asked and got.eer2.between(0, 1).all()
+        assert len(got) == (len(asked) if name == "nearest_subject" else len(asked) * (len(records[records.seq != ""]) - 1))
+    elif name == "family_estimate":
+        assert got.aln_id.is_unique and set(got.aln_id) <= set(records.aln_id)
+    elif name in ("multiple_alignment", "multiple_alignment_cds"):
+        row = got["row" if name == "multiple_alignment" else "dna_row"]
+        assert (row.str.len().groupby(got.aln_id).nunique() == 1).all() and len(got) == len(records)
+        width = 1 if name == "multiple_alignment" else 3
+        assert all(len(x.replace("-", "")) == width * sizes[a, k] for a, k, x in zip(got.aln_id, got.seq_idx, row, strict=True))
+    else:
+        raise AssertionError(f"{name} is not looked at")
+
+
+def test_refinement_and_trees_do_not_lose_matches(spark):
+    """The sum of matched equal pairs isn't below that of the alignment without refinement by more than a little."""
+    from seqlattice.operators import msa
+    from seqlattice.operators.pairs import all_pairs
+
+    sequences = alignment._sequences(spark, FOLDER)
+    pairs = all_pairs(sequences, "seq")
+    totals = []
+    for refinements in (0, 10):
+        scoring = alignment.estimated_scoring(spark, FOLDER, config=AlignConfig(refinements=refinements))
+        rows = msa.multiple_alignment(sequences.select("aln_id", "seq_idx", "seq"), pairs, scoring)
+        totals.append(alignment.align.aligned_matches(all_pairs(rows, "row")).filter("same").count())
+    assert totals[1] >= 0.97 * totals[0]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -13,13 +13,13 @@ def _one(spark, column, **values):
 
 
 def test_gapped(spark):
-    assert _one(spark, R.gapped(F.col("s"), F.col("e"), "X"), s="ATGCAGTCA", e="XXXBBYYYBBYYXX") == "ATGCA---GT--CA"
-    assert _one(spark, R.gapped(F.col("s"), F.col("e"), "Y"), s="ATGCAGTCA", e="XXXBBYYYBBYYXX") == "---ATGCAGTCA--"
+    assert _one(spark, R.gapped(F.col("s"), F.col("e"), "X"), s="MKLWVE", e="BXYYXBYBXY") == "MK--LW-VE-"
+    assert _one(spark, R.gapped(F.col("s"), F.col("e"), "Y"), s="PQRSTAC", e="BXYYXBYBXY") == "P-QR-STA-C"
 
 
 def test_position_map(spark):
-    assert _one(spark, R.position_map(F.col("s")), s="ATGCC---GT--CA") == [1, 2, 3, 4, 5, 9, 10, 13, 14]
-    assert _one(spark, R.position_map(F.col("s")), s="---") == []
+    assert _one(spark, R.position_map(F.col("s")), s="-K-LW--V") == [2, 4, 5, 8]
+    assert _one(spark, R.position_map(F.col("s")), s="----") == []
 
 
 def test_translation(spark):
@@ -117,3 +117,17 @@ def test_hot_keys_are_joined_by_broadcast(spark):
 
 def test_shared_folder(spark):
     assert shared_dir(spark) != shared_dir(spark)
+
+
+def test_one_genetic_code_a_sequence(spark):
+    rows = spark.createDataFrame([(0, "AGATGAATA"), (1, "AGATGAATA"), (2, "AGATGAATA"), (3, "AGATGAATA"), (4, "AGA")], "k int, s string")
+    assert {r.k: r.p for r in rows.select("k", R.translated(F.col("s"), F.col("k")).alias("p")).collect()} == {0: "RXI", 1: "XWM", 2: "SWM", 3: "RXI", 4: None}
+
+
+def test_group_files(spark, tmp_path):
+    from seqlattice.operators import family
+
+    (tmp_path / "sccs").write_text("10, a.1.1.1, d1, 7\n11,a.1.1.2,d2,-\n12, b.1.1.1, d3\n13, a.1.1.1, d4, 8\n")
+    assert {tuple(r) for r in family.read_family_groups(spark, str(tmp_path / "sccs")).collect()} == {("a.1.1.1", 8), ("a.1.1.2", None)}
+    (tmp_path / "seqs").write_text("Sequence,Group,SCOP sunid\nd1abca_, 3, 55\nd2xyz__,4,56\nshort,1\nd1abca_,5,57\n")
+    assert {tuple(r) for r in family.read_sequence_groups(spark, str(tmp_path / "seqs")).collect()} == {("d1abca_", 5), ("d2xyz__", 4)}

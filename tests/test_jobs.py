@@ -49,3 +49,34 @@ def test_illegal_symbols_are_named(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">x\nAC\n>y\nAJ\n")
     with pytest.raises(ValueError, match="sequence 2 has the symbol 'J'"):
         jobs.sequences_of(spark, [f"{tmp_path}/a.fa"])
+
+
+def test_one_genetic_code_a_sequence(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">x\nATGAGAGTT\n>y\nATGTGAGTT\n")
+    main(["align", "--input", f"{tmp_path}/a.fa", "--output", str(tmp_path / "out"), "--coding", "0", "1", "--posterior", "0"])
+    got = [r.seq for r in fasta.read(spark, *glob.glob(f"{tmp_path}/out/aln_id=*")).orderBy("record_no").collect()]
+    assert got == ["ATGAGAGTT", "ATGTGAGTT"]
+    with pytest.raises(ValueError, match="2 sequences for 3 genetic codes"):
+        main(["align", "--input", f"{tmp_path}/a.fa", "--output", str(tmp_path / "no"), "--coding", "0", "1", "1"])
+
+
+def test_other_forms_and_timings(spark, tmp_path, caplog):
+    (tmp_path / "a.ali").write_text("C; comment\n>P1;one\nstructureX:1abc\nAC/DE*\n>P1;two\nACDE*\n")
+    (tmp_path / "a.txt").write_text("one: ACDE\ntwo: ACE\n\none: FG\ntwo: FG\n")
+    (tmp_path / "a.xml").write_text("<a><sequence seq-type='p'><seq-name>one</seq-name><seq-data>ACDE</seq-data></sequence><sequence><seq-name>two</seq-name><seq-data>ACE</seq-data></sequence><colsco-data>1 1 0 1</colsco-data></a>")
+    for form, name in (("homstrad", "a.ali"), ("colon", "a.txt"), ("balibase", "a.xml")):
+        rows = jobs.sequences_of(spark, [f"{tmp_path}/{name}"], form).orderBy("seq_idx").collect()
+        assert [(r.seq_idx, r.name) for r in rows] == [(0, "one"), (1, "two")]
+    with caplog.at_level("INFO", "seqlattice"):
+        main(["align", "--input", f"{tmp_path}/a.txt", "--format", "colon", "--output", str(tmp_path / "out"), "--average-ambiguous", "--refinements", "1"])
+    assert "profiles, trees and merging" in caplog.text
+    assert {r.seq.replace("-", "") for r in fasta.read(spark, *glob.glob(f"{tmp_path}/out/aln_id=*")).collect()} == {"ACDEFG", "ACEFG"}
+
+
+def test_search_of_all_with_all_and_the_nearest_alone(spark, tmp_path):
+    (tmp_path / "db.fa").write_text(">s\nNDCARNEARNDDNRAA\n>t\nEEEEEEEEEEE\n>u\nNDCARNEARNDDNRA\n")
+    main(["search", "--database", f"{tmp_path}/db.fa", "--output", str(tmp_path / "all")])
+    rows = spark.read.csv(str(tmp_path / "all"), header=True).collect()
+    assert {(r.query_name, r.subject_name) for r in rows} == {(x, y) for x in "stu" for y in "stu"}
+    main(["search", "--database", f"{tmp_path}/db.fa", "--output", str(tmp_path / "near"), "--limit", "1"])
+    assert {(r.query_name, r.subject_name) for r in spark.read.csv(str(tmp_path / "near"), header=True).collect()} == {("s", "s"), ("t", "t"), ("u", "u")}
