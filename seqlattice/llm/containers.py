@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlattice.workspace import stored
@@ -26,6 +26,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Up to so many different sizes the space that must be lost is reckoned at every branch; it changes the time alone.
 _BOUNDED = 64
+#: Bytes of a vocabulary file at most.
+_LARGEST = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -49,10 +51,17 @@ class Packing:
     rounds: int = 4
 
 
-def _encoder(packing: Packing) -> tiktoken.Encoding:
-    with open(packing.tokenizer, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=packing.pattern, mergeable_ranks=ranks, special_tokens={})
+def _encoder(vocabulary: bytes, pattern: str) -> tiktoken.Encoding:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _vocabulary(spark: SparkSession, path: str) -> bytes:
+    """The file of byte-pair ranks, read once by the session, so that executors need no copy of it; it may not exceed ``_LARGEST``."""
+    file = spark.read.format("binaryFile").load(path).select("content", "length").first()
+    if file is None or file["length"] > _LARGEST:
+        raise ValueError(f"{path} isn't a file of at most {_LARGEST} bytes")
+    return bytes(file["content"])
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -250,13 +259,16 @@ def pieces(documents: DataFrame, packing: Packing) -> DataFrame:
     Null and empty texts have no token and no piece.
     """
 
+    spark, capacity, pattern = documents.sparkSession, packing.capacity, packing.pattern
+    vocabulary = spark.sparkContext.broadcast(_vocabulary(spark, packing.tokenizer))  # of checked size
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(packing)
+        encoder = _encoder(vocabulary.value, pattern)
         for batch in batches:
             rows: list[tuple[int, int, int, int]] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = len(encoder.encode_ordinary(text)) if text else 0
-                rows += [(i, k, start, min(packing.capacity, n - start)) for k, start in enumerate(range(0, n, packing.capacity))]
+                rows += [(i, k, start, min(capacity, n - start)) for k, start in enumerate(range(0, n, capacity))]
             i, k, start, n = (list(x) for x in zip(*rows, strict=True)) if rows else ([],) * 4
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int32())], names=["id", "piece", "start", "n"])
 
