@@ -35,3 +35,16 @@ def test_same_as_sql(spark, name):
     assert sorted(got.columns) == columns
     rows = lambda df: sorted((tuple(None if pd.isna(x) else round(x, 9) if isinstance(x, float) else x for x in r) for r in df[columns].itertuples(index=False)), key=str)
     assert rows(got) == rows(want)
+
+
+def test_splits_of_the_query_keep_components_together(spark):
+    rows = queries.p1_splits(spark, FOLDER).toPandas()
+    assert rows.seq_id.is_unique and (rows.groupby("component").split.nunique() == 1).all() and set(rows.split) <= {"train", "valid", "test"}
+    records = spark.read.parquet(f"{FOLDER}/sequences.parquet").select("seq_id", "group_no").distinct().toPandas().dropna()
+    root = {r.group_no: r.root_group_no for r in queries.p1_found(spark, FOLDER).collect()}
+    of = dict(zip(rows.seq_id, rows.split, strict=True))
+    seen: dict = {}
+    for seq_id, group in records.itertuples(index=False):
+        assert seen.setdefault(root.get(group, group), of[seq_id]) == of[seq_id]
+    shares = rows.split.value_counts(normalize=True)
+    assert abs(shares["train"] - 0.8) < 0.1  # a tenth of the rows is one Group
