@@ -238,8 +238,11 @@ def compared(pairs: DataFrame, scoring: Scoring, nearest: bool = False) -> DataF
             a, b = ([encoded(x) for x in side] for side in texts)
             rows: tuple[list[bytes], list[bytes]] = ([b""] * len(a), [b""] * len(a))
             eer2 = np.zeros(len(a))
-            for at in blocks(np.array([*map(len, a)]), np.array([*map(len, b)]), 4 * _CELLS):
-                _, scripts = path([a[k] for k in at], [b[k] for k in at], own)
+            queries, of_query = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            sizes = np.array([*map(len, b)])
+            mine = [np.flatnonzero(of_query == q) for q in range(len(queries))]
+            for at in (own_rows[x] for own_rows in mine for x in blocks(np.zeros(len(own_rows), int), sizes[own_rows], 1 << 40, max(64, (3 << 14) // (len(a[own_rows[0]]) + 2)))):
+                _, scripts = path([a[at[0]]] * len(at), [b[k] for k in at], own)
                 for k, script in zip(at, scripts, strict=True):
                     moves = np.frombuffer(script.encode(), np.uint8)
                     for out, text, other in zip(rows, texts, (b"Y", b"X"), strict=True):
@@ -248,7 +251,6 @@ def compared(pairs: DataFrame, scoring: Scoring, nearest: bool = False) -> DataF
                         out[k] = row.tobytes()
                 eer2[at] = _statistics([rows[0][k] for k in at], [rows[1][k] for k in at], False)["eer2"]
             if nearest:
-                _, of_query = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
                 least = np.full(of_query.max(initial=-1) + 1, np.inf)
                 np.minimum.at(least, of_query, eer2)
                 kept = np.flatnonzero(eer2 <= least[of_query] + 1.1e-6)
