@@ -155,3 +155,27 @@ def test_path_as_a_column_function(spark):
     rows = spark.createDataFrame([("ACDEF", "ACEF"), (None, "A"), ("", "AC")], "a string, b string")
     got = [r.x for r in rows.select(path_udf(Scoring(SCORES, None, AlignConfig()))("a", "b").alias("x")).collect()]
     assert got[0].script == "BBXBB" and got[1].script is None and got[2].script == "YY"
+
+
+def test_profile_merge_weighted_is_exact(spark, tmp_path):
+    """Each value is the exact mean, of halves rounded up: sums of hundredths would hang on their order."""
+    from collections import defaultdict
+    from fractions import Fraction
+
+    from seqlattice.operators.pairs import alignment_rows
+    from seqlattice.plans import alignment
+
+    spark.read.parquet("/root/testdata/sf0.01/sequences.parquet").filter("aln_id in ('BB110000155', 'BB300000196')").write.parquet(f"{tmp_path}/sequences.parquet")
+    members = defaultdict(list)
+    for r in alignment_rows(spark, str(tmp_path)).orderBy("aln_id", "seq_idx").collect():
+        members[r.aln_id].append(r.row)
+    want = {}
+    for aln_id, (first, *others) in members.items():
+        sizes = [len(x.replace("-", "")) for x in others]
+        for k, letter in enumerate(first):
+            met = [(n, x[k]) for n, x in zip(sizes, others, strict=True) if x[k : k + 1] not in ("", "-")]
+            if letter != "-" and met:
+                p = Fraction(sum(n * (2 if x == letter else 1) for n, x in met), 2 * sum(sizes))
+                want[aln_id, k + 1 - first[:k].count("-"), k + 1] = int(p * 10**6 + Fraction(1, 2)) / 1e6
+    got = {(r.aln_id, r.x, r.y): r.p for r in alignment.profile_merge_weighted(spark, str(tmp_path)).collect()}
+    assert got == want
