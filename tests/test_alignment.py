@@ -179,3 +179,29 @@ def test_profile_merge_weighted_is_exact(spark, tmp_path):
                 want[aln_id, k + 1 - first[:k].count("-"), k + 1] = int(p * 10**6 + Fraction(1, 2)) / 1e6
     got = {(r.aln_id, r.x, r.y): r.p for r in alignment.profile_merge_weighted(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_first_merged(spark):
+    """The same as the matches of all pairs merged by joins, also of rows of unlike lengths; and no match is made a row before."""
+    from seqlattice.functions import residues as R
+
+    rng = np.random.default_rng(5)
+    rows = [(f"a{a}", 3 * k + 2, "".join(rng.choice(list("AC-"), 30 - int(rng.integers(4)))), float(k % 4)) for a in range(6) for k in range(a + 1)]
+    rows = spark.createDataFrame([*rows, ("b", 0, "A-C", 2.0), ("b", 1, "---", 3.0), (None, 0, "AC", 1.0), (None, 1, "AC", 1.0)], "aln_id string, seq_idx int, row string, w double").repartition(3)
+    first = rows.groupBy("aln_id").agg(F.min(F.struct("seq_idx", "row", "w")).alias("_f")).select("aln_id", "_f.*").withColumn("w", F.lit(1.0))
+    others = rows.join(first.select("aln_id", "seq_idx"), ["aln_id", "seq_idx"], "left_anti")
+    matches = align.aligned_matches(all_pairs(rows, "row")).withColumn("p", F.when(F.col("same"), 1.0).otherwise(0.5)).drop("same")
+    for by_residue in (False, True):
+        one = first.withColumn("row", R.residues(F.col("row"))) if by_residue else first
+        want = {(r.aln_id, r.x, r.y): r.p for r in align.profile_merged(matches, one, others).collect() if r.p is not None}
+        done = align.first_merged(rows, 0.5, by_residue)
+        got = {(r.aln_id, r.x, r.y): r.p for r in done.collect()}
+        assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_merged_profiles_shuffle_rows_alone(spark):
+    from seqlattice.plans import alignment
+
+    for query in (alignment.profile_merge_sum,):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
