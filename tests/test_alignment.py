@@ -202,6 +202,6 @@ def test_first_merged(spark):
 def test_merged_profiles_shuffle_rows_alone(spark):
     from seqlattice.plans import alignment
 
-    for query in (alignment.profile_merge_sum,):
+    for query in (alignment.profile_merge_sum, alignment.profile_merge_weighted):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "Join" not in plan
