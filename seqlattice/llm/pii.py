@@ -12,7 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,10 @@ class Tagger:
 
 
 def _shape(token: str) -> int:
+    return _shape_of_short(token) if len(token) <= 16 else _shape_of(token)
+
+
+def _shape_of(token: str) -> int:
     """The kind of a token as a number: digits by count, letters by case and length, any other sign by itself."""
     if token[0].isdigit():
         return min(len(token), 14)
@@ -58,6 +62,11 @@ def _shape(token: str) -> int:
     return 50 + ord(token) if ord(token) < 128 else 180
 
 
+@lru_cache(1 << 16)
+def _shape_of_short(token: str) -> int:
+    return _shape_of(token)
+
+
 #: Classes of signs: space, letter, combining mark, digit, any other.
 _SPACE, _LETTER, _MARK, _DIGIT, _SIGN = range(5)
 
@@ -142,16 +151,19 @@ def _tokens(lines: list[str], words: dict[str, int]) -> _Tokens:
     return _Tokens(w, c, line, start - line_start[line], end - line_start[line], sizes)
 
 
-def _features(w: np.ndarray, c: np.ndarray) -> np.ndarray:
-    n = len(w) - 2 * _PAD
-    out = np.empty((n, len(TEMPLATES)), np.int32)
+def _features(w: np.ndarray, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of the features, templates by tokens, of the tokens at places ``at`` of a row."""
+    sides = {part: (w if part[0] == "w" else c)[at + int(part[1:])] for part in dict.fromkeys(x for parts in TEMPLATES for x in parts)}
+    out = np.empty((len(TEMPLATES), len(at)), np.int64)
+    h, high = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
     for t, parts in enumerate(TEMPLATES):
-        h = np.full(n, t + 1, np.uint64)
+        h.fill(t + 1)
         for part in parts:
-            shift = int(part[1:])
-            h = (h ^ (w if part[0] == "w" else c)[_PAD + shift : _PAD + shift + n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out[:, t] = h % np.uint64(_SIZE)
+            np.bitwise_xor(h, sides[part], out=h)
+            np.multiply(h, np.uint64(0x9E3779B97F4A7C15), out=h)
+            np.right_shift(h, np.uint64(29), out=high)
+            np.bitwise_xor(h, high, out=h)
+        out[t] = np.bitwise_and(h, np.uint64(_SIZE - 1), out=h)
     return out
 
 
@@ -225,7 +237,7 @@ def fit(lines: list[tuple[str, list[tuple[int, int, str]]]], least: int = 12, ro
                 if a >= start and b <= end:
                     y[i] = number[f"{'I' if begun else 'B'}-{kind}"]
                     begun = True
-        ready.append((_features(tokens.w, tokens.c), y))
+        ready.append((np.ascontiguousarray(_features(tokens.w, tokens.c, tokens.row + _PAD).T, np.int32), y))
     for _ in range(rounds):
         order = rng.permutation(len(ready))
         order = np.concatenate([part[np.argsort([len(ready[i][1]) for i in part])] for part in np.array_split(order, max(1, len(ready) // (8 * batch)))])
@@ -281,19 +293,25 @@ _kept: dict[str, Tagger] = {}
 
 def _viterbi(scores: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> np.ndarray:
     b, n, k = scores.shape
-    came = np.zeros((b, n, k), np.int8)
-    best = scores[:, 0] + tagger.first
+    came = np.zeros((n, k, b), np.int8)
+    best = scores[:, 0].T + tagger.first[:, None]
     rows = np.arange(b)
-    for t in range(1, n):
-        via = best[:, :, None] + tagger.steps
-        came[:, t] = via.argmax(axis=1)
-        best = np.where((t < sizes)[:, None], np.take_along_axis(via, came[:, t][:, None, :].astype(np.int64), 1)[:, 0] + scores[:, t], best)
+    via, more = np.empty((k, b), best.dtype), np.empty((k, b), bool)
+    for t in range(1, n):  # labels by lines: each loop runs over memory that lies together, and the first of equals stays
+        top = best[0] + tagger.steps[0][:, None]
+        for x in range(1, k):
+            np.add(best[x], tagger.steps[x][:, None], out=via)
+            np.greater(via, top, out=more)
+            np.copyto(came[t], x, where=more)
+            np.maximum(top, via, out=top)
+        top += scores[:, t].T
+        np.copyto(best, top, where=t < sizes)
     label = np.zeros((b, n), np.int8)
-    now = best.argmax(axis=1)
+    now = best.argmax(axis=0)
     for t in range(n - 1, -1, -1):
         inside = t < sizes
         label[inside, t] = now[inside]
-        now = np.where(inside & (t > 0), came[rows, t, now], now)
+        now = np.where(inside & (t > 0), came[t, now, rows], now)
     return label
 
 
@@ -322,11 +340,11 @@ def _decoded(lines: list[str], tagger: Tagger) -> Iterator[tuple[int, list[tuple
     if not len(line):
         return
     first = np.cumsum(sizes) - sizes
-    features, row = _features(tokens.w, tokens.c), tokens.row
+    row = tokens.row + _PAD
     flat = np.zeros((len(line), len(LABELS)), np.float32)
     own = np.empty((min(len(line), _AT_ONCE // 8), len(LABELS)), np.float32)
     for k in range(0, len(line), len(own)):
-        f = np.ascontiguousarray(features[row[k : k + len(own)]].T, np.int64)
+        f = _features(tokens.w, tokens.c, row[k : k + len(own)])
         for t in range(len(f)):
             flat[k : k + len(own)] += np.take(tagger.weights, f[t], axis=0, out=own[: f.shape[1]], mode="clip")
     part, start_of, sizes_of = _parts(flat, line, first, sizes, tagger)

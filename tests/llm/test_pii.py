@@ -131,3 +131,37 @@ def test_the_tagger_is_kept(spark, tmp_path):
     assert pii.decode(lines, again) == pii.decode(lines, pii.train(table))
     pii.stored(labelled_table(spark, 81), str(tmp_path))
     assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_features_of_chosen_tokens_alone():
+    tokens = pii._tokens(["Dr. Ana Oredale, 12 High St", "", "tel 555 0100"], {"ana": 2001, "tel": 2002})
+    at = (tokens.row + pii._PAD)[::2]
+    got = pii._features(tokens.w, tokens.c, at)
+    assert got.shape == (len(pii.TEMPLATES), len(at))
+    for t, parts in enumerate(pii.TEMPLATES):
+        for k, place in enumerate(at.tolist()):
+            h = t + 1
+            for part in parts:
+                h = (h ^ int((tokens.w if part[0] == "w" else tokens.c)[place + int(part[1:])])) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            assert got[t, k] == h % pii._SIZE
+
+
+def test_the_first_of_equal_labellings_in_lines_of_any_number():
+    rng = np.random.default_rng(4)
+    k = len(pii.LABELS)
+    tagger = pii.Tagger({}, np.zeros((1, k), np.float32), rng.integers(-1, 2, (k, k)).astype(np.float32), np.zeros(k, np.float32))
+    scores, sizes = rng.integers(-1, 2, (40, 9, k)).astype(np.float32), rng.integers(1, 10, 40)
+    kept = scores.copy()
+    got = pii._viterbi(scores, sizes, tagger)
+    assert (scores == kept).all()
+    for row in range(40):
+        best, came = scores[row, 0] + tagger.first, []
+        for t in range(1, sizes[row]):
+            via = best[:, None] + tagger.steps
+            came.append(via.argmax(axis=0))
+            best = via.max(axis=0) + scores[row, t]
+        want = [int(best.argmax())]
+        for back in came[::-1]:
+            want.append(int(back[want[-1]]))
+        assert got[row, : sizes[row]].tolist() == want[::-1]
