@@ -69,7 +69,7 @@ def align_files(spark: SparkSession, paths: list[str], out: str, scoring: Scorin
             number = F.get(F.array(*map(F.lit, coding)), F.col("seq_idx") if len(coding) > 1 else F.lit(0))
             rows = stored(rows.withColumn("dna", F.col("seq")).withColumn("seq", R.translated(F.col("dna"), number)), "coding")
     with _phase("profiles, trees and merging"):
-        done = stored(msa.multiple_alignment(rows, all_pairs(rows, "seq"), scoring), "aligned")
+        done = stored(msa.multiple_alignment(rows, all_pairs(rows, "seq"), scoring, spread=False), "aligned")
     joined = done.join(rows.drop("row", "seq"), ["aln_id", "seq_idx"])
     seq = F.col("row") if coding is None else R.back_mapped(F.col("row"), F.col("dna"))
     place = F.col("place") if scoring.config.keep_order else F.col("seq_idx")
